@@ -1,16 +1,27 @@
 """Queries of this subpackage by name, and SQL for those that SQL can express."""
 
+from .class_lm import op2_class_lm
 from .decontaminate import op4_decontaminate
 from .language_id import op3_language_id
 from .lz_fingerprint import op1_lz_fingerprint
 from .near_dedup import op6_near_dedup
 from .packing import op8_packing
+from .pii import op5_pii
+from .quality import op10_quality
+from .quotation import op9_quotation
+from .substring_dedup import op7_substring_dedup
 
 QUERIES = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
+    "op2_class_lm": op2_class_lm,
     "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
+    "op5_pii": op5_pii,
     "op6_near_dedup": op6_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
+    "op9_quotation": op9_quotation,
+    "op10_quality": op10_quality,
 }
+#: Statistics, automata, hashes and trained models have no counterpart in SQL; these queries are tested by brute force.
 SQL: dict[str, str] = {}
