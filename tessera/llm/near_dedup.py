@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import documents, written
+from .shared import checked_broadcast, documents, written
 
 SHINGLE, ELL, SKETCHES, THRESHOLD = 4, 2, 24, 0.85
 _U = np.uint64
@@ -154,8 +154,8 @@ def verified_pairs(docs: DataFrame) -> DataFrame:
     """Candidate pairs whose words align with at least the threshold: doc_id, lead, similarity."""
     pairs = written(candidate_pairs(docs), "near-pairs")
     texts = documents(docs)
-    wanted = pairs.select(F.explode(F.array("lead", "doc_id")).alias("doc_id")).distinct()
-    texts = texts.join(wanted, "doc_id", "left_semi")
+    wanted = written(pairs.select(F.explode(F.array("lead", "doc_id")).alias("doc_id")).distinct(), "near-wanted")
+    texts = texts.join(checked_broadcast(wanted), "doc_id", "left_semi")  # a fraction of the texts is ever shuffled
     both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
     found = both.select("doc_id", "lead", "text", "lead_text").mapInArrow(_verify, "doc_id long, lead long, similarity double")
     return written(found.groupBy("doc_id", "lead").agg(F.max("similarity").alias("similarity")), "near-verified")

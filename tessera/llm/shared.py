@@ -28,3 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id (as long) and text of the rows that have an id, with any further columns named; all other columns are left behind."""
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+
+
+#: Rows of (key) that a join may broadcast; a larger side is shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def checked_broadcast(keys: DataFrame) -> DataFrame:
+    """keys (narrow, already written) with the hint to broadcast them if a count says that they are few enough, else to merge."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("merge")
