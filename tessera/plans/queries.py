@@ -121,13 +121,13 @@ def trim_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unicode_nfc(spark: SparkSession, sf: str) -> DataFrame:
-    decomposed = F.replace(F.col("text"), F.lit("é"), F.lit("é"))
+    decomposed = F.replace(F.col("text"), F.lit("\u00e9"), F.lit("e\u0301"))
     normal = Z.normalize_unicode(N.content(N.text(decomposed)), "nfc")
     return table(spark, sf, "documents").select("doc_id", F.md5(N.reconstruct(normal)).alias("digest"))
 
 
 def unicode_forms(spark: SparkSession, sf: str) -> DataFrame:
-    content = N.content(N.text(F.concat(F.col("text"), F.lit(" ﬁle 塚"))), N.placeholder(F.lit("ﬁ")))
+    content = N.content(N.text(F.concat(F.col("text"), F.lit(" \ufb01le \ufa10"))), N.placeholder(F.lit("\ufb01")))
     return table(spark, sf, "documents").select("doc_id", *(F.md5(N.reconstruct(Z.normalize_unicode(content, f))).alias(f) for f in Z.UNICODE_FORMS))
 
 

@@ -69,7 +69,7 @@ SQL = {
     "collapse_adjacent": "SELECT p_partkey, 'text:' || p_type || p_name || '|placeholder:<x/>|placeholder:|text:' || p_brand || '!' AS nodes FROM part",
     "drop_empty": f"SELECT doc_id, CAST(len({_KEPT}) AS INTEGER) AS nodes, md5(array_to_string(list_transform({_KEPT}, lambda s: 'text:' || s), '|')) AS digest FROM documents",
     "trim_modes": f"SELECT p_partkey, {', '.join(map(_trim, ('outer_leading', 'outer_trailing', 'outer_both', 'all_leading', 'all_trailing', 'all_both')))} FROM part",
-    "unicode_nfc": "SELECT doc_id, md5(nfc_normalize(replace(text, 'é', 'é'))) AS digest FROM documents",
+    "unicode_nfc": "SELECT doc_id, md5(nfc_normalize(replace(text, chr(233), 'e' || chr(769)))) AS digest FROM documents",
     "language_case": f"WITH {_DOCS} SELECT doc_id, lower(language) AS lower, upper(language) AS upper FROM docs",
     "language_validation": f"""WITH {_DOCS}, tags AS (SELECT unnest([lang, language, lang || '-Latn-' || upper(lang), lang || '-419-x-a1', lang || '_US', '', 'not a tag', 'qaa-QM', 'x-private']) AS tag FROM docs)
         SELECT tag, count(*) AS n, CASE WHEN tag = 'x-private' THEN 'missing_region' WHEN NOT regexp_matches(tag, '{_LANGTAG}', 'i') THEN 'malformed' WHEN regexp_extract(tag, '{_LANGTAG}', 3, 'i') = '' THEN 'missing_region' ELSE 'ok' END AS outcome FROM tags GROUP BY tag""",
