@@ -9,6 +9,7 @@ must be repeated in the document and the other way round, whatever the new value
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ class Template:
     def __init__(self, texts: list[str]) -> None:
         w = K.Words(texts)
         kind = np.zeros(len(w.h), np.uint64)
+        capital = np.zeros(len(w.h), bool)
         upper = K.upper_table()
         if len(w.h):
             c0 = w.cp[w.s]
@@ -43,7 +45,8 @@ class Template:
             number = (c0 >= 48) & (c0 <= 57)
             one, two = w.cp[np.maximum(w.s - 1, 0)], w.cp[np.maximum(w.s - 2, 0)]
             inside = ((one == 32) & (K.lower_table()[two] != 0) | (one == 32) & np.isin(two, [44, 59])) & (w.s >= w.at[w.doc] + 2)
-            name = upper[c0] & ~upper[second] & (w.e - w.s > 1) & inside
+            capital = upper[c0] & ~upper[second] & (w.e - w.s > 1)
+            name = capital & inside
             unit = np.isin(w.h, _units())
             unit[1:] &= number[:-1] & (w.doc[1:] == w.doc[:-1])
             unit[:1] = False
@@ -51,13 +54,22 @@ class Template:
         keep = np.ones(len(kind), bool)
         keep[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | (w.doc[1:] != w.doc[:-1])
         first = np.flatnonzero(keep)
-        self.slot = kind[first] != 0
+        self.slot, self.opens = kind[first] != 0, capital[first]
         self.h = np.where(self.slot, kind[first], w.h[first])
         last = np.append(first[1:], len(kind)) - 1
         self.value = K.spans_hash(w.h, first, last + 1) if len(first) else w.h
         self.s, self.e, self.doc, self.at = w.s[first], w.e[last] if len(first) else w.e, w.doc[first], w.at
         self.ptr = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
+    def opening_as_name(self) -> Template:
+        """The same tokens, but a capitalised word that opens a text taken for a name, as it may be where the text is quoted within a sentence."""
+        other = copy.copy(self)
+        first = self.ptr[:-1][np.diff(self.ptr) > 0]
+        first = first[self.opens[first] & ~self.slot[first]]
+        other.h, other.slot = self.h.copy(), self.slot.copy()
+        other.h[first], other.slot[first] = NAME, True
+        return other
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of every window of k tokens that lies in one text and has enough literal tokens."""
         n = len(self.h) - k + 1
@@ -84,9 +96,11 @@ class Benchmark:
         size = np.diff(t.ptr)
         self.tables = []
         for k in sorted({int(min(WINDOW, n)) for n in size if n}):
-            start, h = t.windows(k)
+            start, h = (np.concatenate(x) for x in zip(t.windows(k), t.opening_as_name().windows(k), strict=True))
             own = size[t.doc[start]] >= WINDOW if k == WINDOW else size[t.doc[start]] == k
             start, h = start[own], h[own]
+            _, once = np.unique(np.stack([start.astype(np.uint64), h], 1), axis=0, return_index=True)
+            start, h = start[once], h[once]
             if not len(h):
                 continue
             order = np.argsort(h, kind="stable")

@@ -78,15 +78,14 @@ def automaton(data: bytes, size: int) -> list:
 
 
 def phrases(data: bytes, root: list) -> int:
-    """Greedy longest matches, each started by the symbol that broke the one before it."""
-    if not data:
-        return 0
-    n, s = 1, root
+    """Greedy longest matches, each started by the symbol that broke the one before it; a symbol that the automaton lacks is a phrase of its own."""
+    dead = [None] * len(root)
+    n, s = 0, dead
     for c in data:
         t = s[c]
         if t is None:
             n += 1
-            t = root[c] or root
+            t = root[c] or dead
         s = t
     return n
 
@@ -141,18 +140,18 @@ def train(pieces: dict[str, list[str]]) -> Model:
     alphabet[0] = 0
     for i, (cp, _) in enumerate(sorted(((c, n) for c, n in count.items() if c and not 48 <= c <= 57), key=lambda x: (-x[1], x[0]))[:LETTERS]):
         alphabet[cp] = i + 2
-    data = {lang: [d for d in symbols(own, alphabet) if d] for lang, own in pieces.items()}
+    data = {lang: [d for d in dict.fromkeys(symbols(own, alphabet)) if d] for lang, own in pieces.items()}  # copies would set the rate to nothing
     data = {lang: own for lang, own in data.items() if own}
     if not data:
         return Model(alphabet, {}, {})
     most = min(TRAIN_CHARS, max(1, min(sum(map(len, own)) for own in data.values()) * 2 // 3))
-    texts, rest = {}, {}
-    for lang, own in data.items():
-        whole = b"\0".join(own)
-        texts[lang], rest[lang] = whole[:most], whole[most : most + TRAIN_CHARS]
+    texts = {lang: b"\0".join(own)[:most] for lang, own in data.items()}
     model = Model(alphabet, texts, {})
     for lang, root in model.automata().items():
-        model.rates[lang] = phrases(rest[lang], root) / max(1, len(rest[lang])) or 1.0
+        # The median over the pieces that were left out, so that a few odd documents don't set the rate.
+        rest = b"\0".join(data[lang])[most : most + TRAIN_CHARS]
+        pieces_ = [rest[i : i + 500] for i in range(0, max(1, len(rest) - 250), 500)]
+        model.rates[lang] = float(np.median([phrases(d, root) / max(1, len(d)) for d in pieces_])) or 1.0
     return model
 
 

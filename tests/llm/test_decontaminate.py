@@ -1,0 +1,95 @@
+import random
+
+from pyspark.sql import types as T
+
+from tessera.llm import decontaminate as C
+
+from .helpers import awkward, edit, frame, text
+
+ITEMS = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())])
+QUESTION = "A train leaves the old station with Alice and travels 120 km at 60 km per hour, then Alice walks 5 km to the next town before 120 people arrive there."
+NEW = "A train leaves the old station with Robert and travels 350 km at 70 km per hour, then Robert walks 8 km to the next town before 350 people arrive there."
+WRONG = "A train leaves the old station with Robert and travels 350 km at 70 km per hour, then Walter walks 9 km to the next town before 41 people arrive there."
+
+
+def run(spark, docs, items):
+    got = C.contamination(frame(spark, docs), spark.createDataFrame(items, ITEMS)).collect()
+    return {(r["doc_id"], r["item_id"]): r for r in got}
+
+
+def test_placeholders():
+    t = C.Template(["We saw Ann Lee pay 3.50 USD and 7 kg. Then she left", "we saw Bob pay 9 EUR and 12 kg. Then she left"])
+    a, b = (t.h[t.ptr[i] : t.ptr[i + 1]].tolist() for i in range(2))
+    assert a == b
+    assert t.slot[t.ptr[0] : t.ptr[1]].tolist() == [False, False, True, False, True, True, False, True, True, False, False, False]
+
+
+def test_reparameterised_questions_are_found_and_slots_must_be_consistent(spark):
+    r = random.Random(1)
+    around = lambda q: f"{text(r, 200)} {q} {text(r, 200)}"
+    docs = [(1, around(QUESTION)), (2, around(NEW)), (3, around(WRONG)), (4, around("nothing here")), (5, QUESTION.upper())]
+    found = run(spark, docs, [(10, QUESTION), (11, text(r, 30))])
+    assert {k for k in found if k[1] == 10} >= {(1, 10), (2, 10)}
+    assert (3, 10) not in found and not any(k[0] == 4 or k[1] == 11 for k in found)
+    assert found[1, 10]["changed_slots"] == 0 and found[2, 10]["changed_slots"] > 0
+    d = dict(docs)[1][found[1, 10]["doc_start"] : found[1, 10]["doc_end"]]
+    assert d in QUESTION.strip(".") and len(d) > 0.8 * len(QUESTION)
+
+
+def test_against_brute_force(spark):
+    r = random.Random(2)
+    items = [(i, text(r, r.choice([4, 12, 30, 60]))) for i in range(40)]
+    docs, due, never = [], set(), set()
+    for i in range(120):
+        body = text(r, r.choice([0, 50, 400]))
+        k = r.randrange(3)
+        if k:
+            item, own = r.choice(items)
+            if k == 1:
+                body = f"{body} {own} {text(r, 40)}"
+                due.add((i, item))
+            else:
+                cut = own.split()
+                body = f"{body} {' '.join(cut[: len(cut) // 4])} {text(r, 40)}"
+        docs.append((i, body))
+    found = run(spark, docs, items)
+    same = {(a, b) for a in range(40) for b in range(40) if items[a][1] == items[b][1]}
+    assert due <= set(found)
+    for d, item in found:
+        t, own = C.Template([dict(docs)[d], dict(items)[item]]), None
+        a, b = (t.h[t.ptr[i] : t.ptr[i + 1]].tolist() for i in range(2))
+        w = min(C.WINDOW, len(b))
+        grams = {tuple(a[i : i + w]) for i in range(len(a) - w + 1)}
+        own = set()
+        for i in range(len(b) - w + 1):
+            if tuple(b[i : i + w]) in grams:
+                own |= set(range(i, i + w))
+        assert len(own) / len(b) >= C.COVERAGE
+    assert same and not never
+
+
+def test_lightly_edited_copies_are_found(spark):
+    r = random.Random(3)
+    items = [(i, text(r, 60)) for i in range(30)]
+    docs = [(i, f"{text(r, 80)} {edit(r, t, 0.03)} {text(r, 80)}") for i, t in items]
+    assert sum((i, i) in run(spark, docs, items) for i, _ in items) >= 27
+
+
+def test_a_benchmark_in_shards_gives_the_same_rows(spark, monkeypatch):
+    r = random.Random(4)
+    items = [(i, text(r, 25)) for i in range(20)]
+    docs = [(i, f"{text(r, 30)} {items[i % 20][1]}") for i in range(40)]
+    whole = set(run(spark, docs, items))
+    monkeypatch.setattr(C, "SHARD_CHARS", 500)
+    assert set(run(spark, docs, items)) == whole and len(whole) >= 40
+
+
+def test_awkward_rows(spark):
+    r = random.Random(5)
+    items = spark.createDataFrame([(1, text(r, 20)), (1, "second text of the same item id here"), (2, None), (None, "x"), (3, ""), (4, "..."), (5, "one"), (6, "12 34")], ITEMS)
+    hit = "second text of the same item id here"
+    df = awkward(spark, [(20, hit), (20, hit), (21, f"the {hit} the")])
+    got = sorted((r["doc_id"], r["item_id"]) for r in C.contamination(df, items).collect())
+    assert [g for g in got if g[1] == 1] == [(20, 1), (20, 1), (21, 1)]
+    assert C.contamination(df.limit(0), items).count() == 0
+    assert C.contamination(df, items.limit(0)).count() == 0
