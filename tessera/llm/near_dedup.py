@@ -3,9 +3,10 @@
 A document is a sequence of k-word shingles, each labelled with its occurrence number so that repeats count. Each of m
 hash functions samples the `ell` labelled shingles of least hash and keeps them in text order; the hash of that ordered
 tuple is one sketch. Two texts share a sketch with a probability that falls with their edit distance, since both the
-sample and its order have to agree. Documents that share any sketch are candidates, joined to the least id of the
-bucket; every candidate is verified by banded alignment of all its words, and connected components of the verified
-pairs are the groups.
+sample and its order have to agree. Texts of the very same words are settled by a hash of all of them, and the first
+stands for the others. Documents that share any sketch are candidates, joined to the least id of the bucket; every
+candidate is verified by banded alignment of all its words, and connected components of the verified pairs are the
+groups. Texts are shuffled once, each to the leads that it is compared with.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .shared import checked_broadcast, documents, written
 
 SHINGLE, ELL, SKETCHES, THRESHOLD = 4, 2, 24, 0.85
+#: Candidates of one lead that a task compares; a lead with more goes to as many tasks as it takes.
+LEAD_SHARE = 2048
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -39,15 +42,17 @@ def occurrence_labelled(g: np.ndarray, doc: np.ndarray) -> np.ndarray:
         return K.mix(g + nth.astype(np.uint64) * _U(0x9FB21C651E98DF25))
 
 
-def sketches(texts: list[str], shingle: int = SHINGLE, ell: int = ELL, m: int = SKETCHES) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the texts with any word, and their m sketches (one row each)."""
+def sketches(texts: list[str], shingle: int = SHINGLE, ell: int = ELL, m: int = SKETCHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the texts with any word, and by row their m sketches and two hashes of all their words."""
     w = K.Words(texts)
     some = np.flatnonzero(np.diff(w.ptr))
     out = np.empty((len(some), m), np.uint64)
+    first, last = w.ptr[:-1][some], w.ptr[1:][some]
+    whole = np.stack([K.spans_hash(w.h, first, last), K.spans_hash(K.mix(w.h), first, last)], 1)
     if not len(some):
-        return some, out
+        return some, out, whole
     g = occurrence_labelled(w.grams(shingle), w.doc)
-    place, begin = np.arange(len(g), dtype=np.uint64), w.ptr[:-1][some]
+    place, begin = np.arange(len(g), dtype=np.uint64), first
     with np.errstate(over="ignore"):
         for j, (a, b) in enumerate(zip(K.seeds(m, 61) | _U(1), K.seeds(m, 67), strict=True)):
             v = g * a
@@ -66,7 +71,7 @@ def sketches(texts: list[str], shingle: int = SHINGLE, ell: int = ELL, m: int =
             for x in range(ell):
                 key = K.mix(key * _U(0xD6E8FEB86659FD93) + np.where(picked[:, x] >= 0, g[picked[:, x]], _U(0)))
             out[:, j] = key
-    return some, out
+    return some, out, whole
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -125,40 +130,62 @@ def similarity(a: list[int], b: list[int], threshold: float = THRESHOLD) -> floa
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in K.chunks(batches):
-        some, keys = sketches(texts)
-        ids = batch.column("doc_id").take(pa.array(some))
-        yield K.batch_of(doc_id=ids.take(pa.array(np.repeat(np.arange(len(some)), SKETCHES))), key=K.signed(keys.ravel()))
+        some, keys, whole = sketches(texts)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, SKETCHES, dtype=np.int32)), pa.array(K.signed(keys.ravel())))
+        yield K.batch_of(doc_id=batch.column("doc_id").take(pa.array(some)), whole=K.signed(whole[:, 0]), again=K.signed(whole[:, 1]), keys=flat)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come lead by lead, the lead's own text (or texts, if its id is repeated) before the others; only that is held."""
+    lead, held = None, []
     for batch in batches:
-        for part, left in K.chunks(iter([batch]), "lead_text", K.CHUNK_CHARS // 2):
-            right = ["" if t is None else t for t in part.column("text").to_pylist()]
-            a, b = K.Words(left), K.Words(right)
-            found = np.zeros(len(left))
-            for i in range(len(left)):
-                x, y = a.h[a.ptr[i] : a.ptr[i + 1]], b.h[b.ptr[i] : b.ptr[i + 1]]
-                found[i] = 1.0 if len(x) and np.array_equal(x, y) else similarity(x.tolist(), y.tolist())
+        for part, texts in K.chunks(iter([batch])):
+            w = K.Words(texts)
+            leads, members = part.column("lead").to_pylist(), part.column("is_member").to_pylist()
+            found = np.zeros(len(texts))
+            for i, own in enumerate(leads):
+                words = w.h[w.ptr[i] : w.ptr[i + 1]]
+                if own != lead:
+                    lead, held = own, []
+                if not members[i]:
+                    held.append(words.copy())
+                elif len(words):
+                    listed = words.tolist()
+                    found[i] = max((1.0 if np.array_equal(x, words) else similarity(x.tolist(), listed) for x in held), default=0.0)
             ok = pa.array(np.flatnonzero(found))
             yield K.batch_of(doc_id=part.column("doc_id").take(ok), lead=part.column("lead").take(ok), similarity=found[found > 0])
 
 
-def candidate_pairs(docs: DataFrame) -> DataFrame:
+def exact_and_sketched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, lead, similarity 1) of documents whose words are those of a smaller id; and doc_id, keys of all the others."""
+    rows = written(documents(docs).mapInArrow(_emit, "doc_id long, whole long, again long, keys array<long>"), "near-sketches")
+    first = rows.groupBy("whole", "again").agg(F.min("doc_id").alias("lead"))
+    led = rows.select("doc_id", "whole", "again").join(first, ["whole", "again"]).where("doc_id <> lead")
+    exact = written(led.distinct(), "near-exact")
+    # By words and not by id alone: rows that share an id may hold several texts.
+    kept = rows.join(checked_broadcast(exact.select("doc_id", "whole", "again")), ["doc_id", "whole", "again"], "left_anti")
+    return exact.select("doc_id", "lead", F.lit(1.0).alias("similarity")), kept.select("doc_id", "keys")
+
+
+def candidate_pairs(sketched: DataFrame) -> DataFrame:
     """(lead, doc_id): every document against the least id in each bucket that it shares."""
-    keys = documents(docs).mapInArrow(_emit, "doc_id long, key long")
+    keys = sketched.select("doc_id", F.posexplode("keys").alias("nth", "key"))
     lead = keys.withColumn("lead", F.min("doc_id").over(Window.partitionBy("key")))
     return lead.where("doc_id <> lead").select("lead", "doc_id").distinct()
 
 
 def verified_pairs(docs: DataFrame) -> DataFrame:
-    """Candidate pairs whose words align with at least the threshold: doc_id, lead, similarity."""
-    pairs = written(candidate_pairs(docs), "near-pairs")
-    texts = documents(docs)
-    wanted = written(pairs.select(F.explode(F.array("lead", "doc_id")).alias("doc_id")).distinct(), "near-wanted")
-    texts = texts.join(checked_broadcast(wanted), "doc_id", "left_semi")  # a fraction of the texts is ever shuffled
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    found = both.select("doc_id", "lead", "text", "lead_text").mapInArrow(_verify, "doc_id long, lead long, similarity double")
-    return written(found.groupBy("doc_id", "lead").agg(F.max("similarity").alias("similarity")), "near-verified")
+    """Pairs whose words are the same or align with at least the threshold: doc_id, lead, similarity."""
+    exact, sketched = exact_and_sketched(docs)
+    pairs = written(candidate_pairs(sketched), "near-pairs")
+    shares = pairs.groupBy("lead").agg(F.ceil(F.count("*") / LEAD_SHARE).cast("int").alias("shares"))
+    share: Column = F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")
+    members = pairs.join(shares, "lead").select(F.col("doc_id").alias("id"), "lead", share.alias("share"), F.lit(True).alias("is_member"))
+    leads = shares.select(F.col("lead").alias("id"), "lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(False).alias("is_member"))
+    wanted = written(members.union(leads), "near-wanted")
+    rows = documents(docs).join(checked_broadcast(wanted), F.col("doc_id") == F.col("id")).select("lead", "share", "is_member", "doc_id", "text")
+    found = rows.repartition("lead", "share").sortWithinPartitions("lead", "share", "is_member").mapInArrow(_verify, "doc_id long, lead long, similarity double")
+    return written(found.groupBy("doc_id", "lead").agg(F.max("similarity").alias("similarity")).union(exact), "near-verified")
 
 
 def components(edges: DataFrame) -> DataFrame:

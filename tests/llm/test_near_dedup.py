@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import near_dedup as D
+from tessera.llm import shared
 
 from .helpers import awkward, edit, frame, text
 
@@ -45,8 +46,8 @@ def test_sketches_are_sensitive_to_order():
     shuffled = t[:]
     r.shuffle(shuffled)
     near = edit(r, " ".join(t), 0.04)
-    _, s = D.sketches([" ".join(t), " ".join(shuffled), near, " ".join(t)])
-    assert (s[0] == s[3]).all()
+    _, s, whole = D.sketches([" ".join(t), " ".join(shuffled), near, " ".join(t)])
+    assert (s[0] == s[3]).all() and (whole[0] == whole[3]).all() and (whole[:3, 0] != whole[[1, 2, 0], 0]).all()
     assert (s[0] == s[2]).sum() > (s[0] == s[1]).sum()
 
 
@@ -85,6 +86,24 @@ def test_thousands_of_copies_are_one_group(spark):
     assert len(found) == 2999 and {x["duplicate_of"] for x in found} == {0}
 
 
+def test_a_lead_with_many_candidates_is_shared_out(spark, monkeypatch):
+    r = random.Random(10)
+    base = text(r, 120)
+    docs = [(i, edit(r, base, 0.02)) for i in range(60)]
+    whole = {(x["doc_id"], x["duplicate_of"]) for x in D.near_duplicates(frame(spark, docs)).collect()}
+    monkeypatch.setattr(D, "LEAD_SHARE", 4)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    assert {(x["doc_id"], x["duplicate_of"]) for x in D.near_duplicates(frame(spark, docs)).collect()} == whole
+    assert len(whole) >= 57
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    r = random.Random(11)
+    x, y = text(r, 80), text(r, 80)
+    found = {(d["doc_id"], d["duplicate_of"]) for d in D.near_duplicates(frame(spark, [(7, x), (7, y), (3, x), (9, edit(r, y, 0.02)), (8, y)])).collect()}
+    assert found == {(7, 3), (8, 3), (9, 3)}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(101, 100)], "doc_id long, lead long")
     got = {r["doc_id"]: r["group"] for r in D.components(edges).collect()}
