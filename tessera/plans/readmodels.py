@@ -74,6 +74,21 @@ def reachable(edges: DataFrame, hops: int) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.min("hops").alias("hops"))
 
 
+def _better(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best lists (a row a query, greatest similarity first, then least id) after a block of further vectors."""
+    k = best_s.shape[1]
+    least = best_s[:, -1:]
+    if s.shape[1] > k:
+        least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k, None])
+    row, col = np.nonzero(s >= least)  # all that can be among the best, ties included
+    row = np.concatenate([np.repeat(np.arange(len(best_s)), k), row])
+    value, name = np.concatenate([best_s.ravel(), s[row[best_s.size :], col]]), np.concatenate([best_i.ravel(), ids[col]])
+    order = np.lexsort((name, -value, row))
+    first = np.searchsorted(row[order], np.arange(len(best_s)))
+    take = order[first[:, None] + np.arange(k)]
+    return value[take], name[take]
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, shard_rows: int = 65_536) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest vectors of every query by cosine, exactly; a vector isn't its own neighbour.
 
@@ -107,11 +122,12 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, shard_rows: int =
                     part = pairs[lo : lo + 4096]
                     own = np.array([i for i, _ in part])
                     v = np.array([x for _, x in part], float)
-                    s = np.round(q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
-                    s[ids[:, None] == own] = -2
-                    all_s, all_i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(own, s.shape)])
-                    order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-                    best_s, best_i = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    for at in range(0, len(ids), 1024):
+                        block = slice(at, at + 1024)
+                        s = np.round(q[block] @ v.T, 6)
+                        s[ids[block, None] == own] = -2
+                        best_s[block], best_i[block] = _better(best_s[block], best_i[block], s, own)
             real = best_s > -2
             yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, k)[real.ravel()], "vec_id": best_i[real], "similarity": best_s[real]})
 
