@@ -25,15 +25,17 @@ from .shared import documents
 TRAIN_CHARS, TRAIN_ROWS, LETTERS = 8_000, 200, 120
 #: A document is rejected if its phrases exceed this multiple of what its language's own text needs, plus a slack that matters only for short texts.
 MAX_RATIO, SLACK = 1.8, 15.0
+#: Characters of whole documents that are parsed side by side.
+TOGETHER = 8 << 20
 SCHEMA = "doc_id long, language string, phrases int, n_letters int, score double, margin double, keep boolean"
 
 
 def symbols(texts: list[str], alphabet: np.ndarray) -> list[bytes]:
     """Texts as bytes: 0 for a run of anything but letters, 1 for a letter that isn't in the alphabet, 2 and up for the others."""
     cp, at = K.codes(texts)
-    low = K.lower_table()[cp]
-    low[(cp >= 48) & (cp <= 57)] = 0
-    sym = alphabet[low]
+    table = alphabet[K.lower_table()]
+    table[48:58] = 0
+    sym = table[cp]
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] != 0) | (sym[:-1] != 0)
     keep[at[:-1]] &= sym[at[:-1]] != 0
@@ -43,17 +45,17 @@ def symbols(texts: list[str], alphabet: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def automaton(data: bytes, size: int) -> list:
-    """The start state of data's suffix automaton; a state is a list of the next states by symbol, None where there is none."""
-    nxt, link, length = [[None] * size], [-1], [0]
+def suffix_states(data: bytes, size: int) -> list[list[int]]:
+    """Next states by symbol (-1 where there is none) of data's suffix automaton, the start state first."""
+    nxt, link, length = [[-1] * size], [-1], [0]
     last = 0
     for c in data:
         cur = len(nxt)
-        nxt.append([None] * size)
+        nxt.append([-1] * size)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and nxt[p][c] is None:
+        while p >= 0 and nxt[p][c] < 0:
             nxt[p][c] = cur
             p = link[p]
         if p >= 0:
@@ -70,11 +72,18 @@ def automaton(data: bytes, size: int) -> list:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    for state in nxt:
-        for c, t in enumerate(state):
-            if t is not None:
-                state[c] = nxt[t]
-    return nxt[0]
+    return nxt
+
+
+def automaton(data: bytes, size: int) -> list:
+    """The start state of data's suffix automaton; a state is a list of the next states by symbol, None where there is none."""
+    nxt = suffix_states(data, size)
+    states: list[list] = [[None] * size for _ in nxt]
+    for state, row in zip(states, nxt, strict=True):
+        for c, t in enumerate(row):
+            if t >= 0:
+                state[c] = states[t]
+    return states[0]
 
 
 def phrases(data: bytes, root: list) -> int:
@@ -90,27 +99,77 @@ def phrases(data: bytes, root: list) -> int:
     return n
 
 
+class Parser:
+    """The automata of all languages as one table, over which many texts step side by side.
+
+    A row of the table is a state, and an entry where its next state's row begins, with BROKE set where a phrase breaks
+    off and the next begins. A state that follows nothing, at the end of each automaton, is where texts start.
+    """
+
+    BROKE, FEW = 1 << 30, 24
+
+    def __init__(self, texts: dict[str, bytes], size: int) -> None:
+        self.languages, tables, base, self.start = sorted(texts), [], 0, []
+        for lang in self.languages:
+            nxt = np.array(suffix_states(texts[lang], size), np.int64)
+            dead = len(nxt)
+            nxt = np.vstack([nxt, np.full((1, size), -1)])
+            broke = nxt < 0
+            target = np.where(broke, np.where(nxt[0] >= 0, nxt[0], dead), nxt)
+            tables.append(((target * size + base) | np.where(broke, self.BROKE, 0)).astype(np.int32).ravel())
+            self.start.append(base + dead * size)
+            base += nxt.size
+        self.table = np.concatenate([*tables, np.zeros(0, np.int32)])
+
+    def count(self, data: list[bytes]) -> np.ndarray:
+        """Phrases of every text (column) in every language (row)."""
+        size = np.array([len(d) for d in data], np.int64)
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        # Texts stand from long to short, so those that go on are always the first; the last few are followed singly.
+        live = len(size) - np.searchsorted(size[::-1], np.arange(int(size[0]) if len(size) else 0), "right")
+        together = int((live >= self.FEW).sum())
+        at = np.concatenate([[0], np.cumsum(live[:together])])
+        turn = np.empty(at[-1], np.uint8)  # first symbols of all texts, then second symbols, ...
+        for i, k in enumerate(order[: int(live[0]) if together else 0]):
+            own = np.frombuffer(data[k], np.uint8, min(together, len(data[k])))
+            turn[at[: len(own)] + i] = own
+        n = np.zeros((len(self.start), len(data)), np.int32)
+        state = np.repeat(np.array(self.start)[:, None], len(data), 1)
+        for a, lo in zip(live[:together].tolist(), at.tolist(), strict=False):
+            state, n_ = state[:, :a], n[:, :a]
+            v = self.table.take(state + turn[lo : lo + a])
+            n_ += v >> 30
+            state = v & (self.BROKE - 1)
+        table = memoryview(self.table)
+        for i in range(int(live[together]) if together < len(live) else 0):
+            rest = data[order[i]][together:]
+            for j in range(len(self.start)):
+                s, k, mask = int(state[j, i]), 0, self.BROKE - 1
+                for c in rest:
+                    s = table[s + c]
+                    if s > mask:
+                        k += 1
+                        s &= mask
+                n[j, i] += k
+        out = np.empty_like(n)
+        out[:, order] = n
+        return out
+
+
 class Model:
     """Alphabet, and by language the labelled text and phrases per letter of text that the automaton hasn't seen."""
 
     def __init__(self, alphabet: np.ndarray, texts: dict[str, bytes], rates: dict[str, float]) -> None:
         self.alphabet, self.texts, self.rates = alphabet, texts, rates
 
-    def automata(self) -> dict[str, list]:
-        size = int(self.alphabet.max()) + 1
-        return _automata(tuple(sorted(self.texts.items())), size)
+    def parser(self) -> Parser:
+        return _parser(tuple(sorted(self.texts.items())), int(self.alphabet.max()) + 1)
 
 
 @lru_cache(2)
-def _automata(texts: tuple[tuple[str, bytes], ...], size: int) -> dict[str, list]:
-    import gc
-
-    gc.disable()  # millions of small objects that all stay
-    try:
-        return {lang: automaton(data, size) for lang, data in texts}
-    finally:
-        gc.freeze()
-        gc.enable()
+def _parser(texts: tuple[tuple[str, bytes], ...], size: int) -> Parser:
+    return Parser(dict(texts), size)
 
 
 def fit(docs: DataFrame) -> Model:
@@ -147,27 +206,30 @@ def train(pieces: dict[str, list[str]]) -> Model:
     most = min(TRAIN_CHARS, max(1, min(sum(map(len, own)) for own in data.values()) * 2 // 3))
     texts = {lang: b"\0".join(own)[:most] for lang, own in data.items()}
     model = Model(alphabet, texts, {})
-    for lang, root in model.automata().items():
+    parser = model.parser()
+    for j, lang in enumerate(parser.languages):
         # The median over the pieces that were left out, so that a few odd documents don't set the rate.
         rest = b"\0".join(data[lang])[most : most + TRAIN_CHARS]
         pieces_ = [rest[i : i + 500] for i in range(0, max(1, len(rest) - 250), 500)]
-        model.rates[lang] = float(np.median([phrases(d, root) / max(1, len(d)) for d in pieces_])) or 1.0
+        model.rates[lang] = float(np.median(parser.count(pieces_)[j] / np.maximum(1, [len(d) for d in pieces_]))) or 1.0
     return model
 
 
 def classify(texts: list[str], model: Model) -> list[tuple[str | None, int, int, float, float, bool]]:
     """For each text: language, phrases, letters, score (phrases over those expected), margin to the next language, keep."""
-    roots, out = model.automata(), []
-    for data in symbols(texts, model.alphabet):
-        letters = len(data) - data.count(0)
-        if not letters or not roots:
+    parser, out = model.parser(), []
+    data = symbols(texts, model.alphabet)
+    counts = parser.count(data).T.tolist()
+    for own, found in zip(data, counts, strict=True):
+        letters = len(own) - own.count(0)
+        if not letters or not found:
             out.append((None, 0, letters, 0.0, 0.0, False))
             continue
-        n = {lang: phrases(data, root) for lang, root in roots.items()}
-        score = {lang: n[lang] / (model.rates[lang] * len(data)) for lang in n}
+        n = dict(zip(parser.languages, found, strict=True))
+        score = {lang: n[lang] / (model.rates[lang] * len(own)) for lang in n}
         ranked = sorted(score, key=lambda x: (score[x], x))
         best = ranked[0]
-        expected = model.rates[best] * len(data)
+        expected = model.rates[best] * len(own)
         keep = n[best] <= MAX_RATIO * expected + SLACK
         out.append((best, n[best], letters, score[best], score[ranked[1]] - score[best] if len(ranked) > 1 else 0.0, keep))
     return out
@@ -184,7 +246,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TRAIN_CHARS bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in K.chunks(batches):
+        for batch, texts in K.chunks(batches, limit=TOGETHER):
             lang, n, letters, score, margin, keep = zip(*classify(texts, shared.value), strict=True)
             yield K.batch_of(doc_id=batch.column("doc_id"), language=pa.array(lang, pa.string()), phrases=pa.array(n, pa.int32()), n_letters=pa.array(letters, pa.int32()), score=pa.array(score, pa.float64()), margin=pa.array(margin, pa.float64()), keep=pa.array(keep, pa.bool_()))
 
@@ -202,7 +264,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fields = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in K.chunks(batches):
+        for batch, texts in K.chunks(batches, limit=TOGETHER):
             found = classify(texts, shared.value)
             at = batch.schema.get_field_index("lang")
             batch = batch.set_column(at, "lang", pa.array([x[0] for x in found], batch.schema.field(at).type))
