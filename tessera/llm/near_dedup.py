@@ -225,6 +225,6 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, and all that are in none."""
-    gone = near_duplicates(docs).select(F.col("doc_id").alias("_gone"))
+    """Pipeline stage: one document of each group stays, and all that are in none. Texts are shuffled only if too many ids go to be broadcast."""
+    gone = checked_broadcast(written(near_duplicates(docs).select(F.col("doc_id").alias("_gone")), "near-gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -16,7 +16,7 @@ def sf_dir(spark, tmp_path):
     rows = [(i, text(r, 150, lang), lang) for i, lang in enumerate(["en", "fr", "de"] * 30)]
     rows += [(100, rows[0][1], "en"), (101, edit(r, rows[1][1], 0.03), "fr"), (102, edit(r, rows[1][1], 0.03), "fr")]
     item = text(r, 40)
-    rows += [(110, f"{text(r, 60)} {item} {text(r, 60)}", "en"), (111, "".join(r.choice("qxzjk ") for _ in range(3000)), "en"), (112, None, "en"), (113, "", None)]
+    rows += [(110, f"{text(r, 60)} {item} {text(r, 60)}", "en"), (111, "".join(r.choice("qxzjk ") for _ in range(3000)), None), (112, None, "en"), (113, "", None)]
     rows += [(120, f"{text(r, 60)} the.77@mail3.example.com {text(r, 60)}", "en")]
     docs = [(i, t, lang, "src", None if t is None else len(t)) for i, t, lang in rows]
     spark.createDataFrame(docs, DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
