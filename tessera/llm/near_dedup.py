@@ -4,9 +4,10 @@ A document is a sequence of k-word shingles, each labelled with its occurrence n
 hash functions samples the `ell` labelled shingles of least hash and keeps them in text order; the hash of that ordered
 tuple is one sketch. Two texts share a sketch with a probability that falls with their edit distance, since both the
 sample and its order have to agree. Texts of the very same words are settled by a hash of all of them, and the first
-stands for the others. Documents that share any sketch are candidates, joined to the least id of the bucket; every
-candidate is verified by banded alignment of all its words, and connected components of the verified pairs are the
-groups. Texts are shuffled once, each to the leads that it is compared with.
+stands for the others. Documents that share any sketch are candidates, and every candidate is verified by banded
+alignment of all its words; connected components of the verified pairs are the groups. Each bucket is first compared
+with its least id, the lead, for which texts are shuffled once to the leads that they are compared with. Buckets whose
+members aren't all in one group after that get all pairs of different groups compared, in blocks of members.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .shared import checked_broadcast, documents, written
 SHINGLE, ELL, SKETCHES, THRESHOLD = 4, 2, 24, 0.85
 #: Candidates of one lead that a task compares; a lead with more goes to as many tasks as it takes.
 LEAD_SHARE = 2048
+#: Members of a bucket in one block; a bucket with more is compared block by block, in as many tasks as there are pairs of blocks.
+BLOCK = 512
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -167,17 +170,17 @@ def exact_and_sketched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return exact.select("doc_id", "lead", F.lit(1.0).alias("similarity")), kept.select("doc_id", "keys")
 
 
-def candidate_pairs(sketched: DataFrame) -> DataFrame:
-    """(lead, doc_id): every document against the least id in each bucket that it shares."""
+def shared_buckets(sketched: DataFrame) -> DataFrame:
+    """(doc_id, nth, key, lead) of the buckets with more than one document; lead is the least id of the bucket."""
     keys = sketched.select("doc_id", F.posexplode("keys").alias("nth", "key"))
-    lead = keys.withColumn("lead", F.min("doc_id").over(Window.partitionBy("key")))
-    return lead.where("doc_id <> lead").select("lead", "doc_id").distinct()
+    own = Window.partitionBy("key")
+    both = keys.withColumns({"lead": F.min("doc_id").over(own), "last": F.max("doc_id").over(own)})
+    return written(both.where("lead <> last").select("doc_id", "nth", "key", "lead"), "near-buckets")
 
 
-def verified_pairs(docs: DataFrame) -> DataFrame:
-    """Pairs whose words are the same or align with at least the threshold: doc_id, lead, similarity."""
-    exact, sketched = exact_and_sketched(docs)
-    pairs = written(candidate_pairs(sketched), "near-pairs")
+def lead_pairs(docs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Verified pairs of a document and the least id of a bucket that it is in."""
+    pairs = written(buckets.where("doc_id <> lead").select("lead", "doc_id").distinct(), "near-pairs")
     shares = pairs.groupBy("lead").agg(F.ceil(F.count("*") / LEAD_SHARE).cast("int").alias("shares"))
     share: Column = F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")
     members = pairs.join(shares, "lead").select(F.col("doc_id").alias("id"), "lead", share.alias("share"), F.lit(True).alias("is_member"))
@@ -185,7 +188,108 @@ def verified_pairs(docs: DataFrame) -> DataFrame:
     wanted = written(members.union(leads), "near-wanted")
     rows = documents(docs).join(checked_broadcast(wanted), F.col("doc_id") == F.col("id")).select("lead", "share", "is_member", "doc_id", "text")
     found = rows.repartition("lead", "share").sortWithinPartitions("lead", "share", "is_member").mapInArrow(_verify, "doc_id long, lead long, similarity double")
-    return written(found.groupBy("doc_id", "lead").agg(F.max("similarity").alias("similarity")).union(exact), "near-verified")
+    return found.groupBy("doc_id", "lead").agg(F.max("similarity").alias("similarity"))
+
+
+def verified_in_tile(ids: list[int], groups: list[int], blocks: np.ndarray, words: list[np.ndarray], keys: np.ndarray, nth: int) -> list[tuple[int, int, float]]:
+    """(greater id, smaller id, similarity) of pairs that join all groups which any pair of this tile joins.
+
+    Pairs are of the two blocks if there are two. A pair that shares an earlier bucket is left to that one, and one of
+    the same group is joined already. Documents with most sketches in common with others come first: the base of many
+    copies then joins them before they are compared with each other. That order changes only how many are compared.
+    """
+    n = len(ids)
+    size = np.array([len(x) for x in words])
+    ptr = np.concatenate([[0], np.cumsum(size)])
+    flat = occurrence_labelled(np.concatenate(words), np.repeat(np.arange(n), size))
+    labels, flat = np.unique(flat, return_inverse=True)
+    common = np.zeros(n, np.int64)
+    for column in keys.T:
+        _, at, count = np.unique(column, return_inverse=True, return_counts=True)
+        common += count[at]
+    group = np.unique(np.array(groups), return_inverse=True)[1]
+    across = blocks.min() != blocks.max()
+    marked = np.zeros(len(labels), bool)
+    listed: dict[int, list[int]] = {}
+    ahead, out = np.ones(n, bool), []
+    for x in np.argsort(-common, kind="stable").tolist():
+        ahead[x] = False
+        due = ahead & (group != group[x])
+        if across:
+            due &= blocks != blocks[x]
+        due &= (keys[:, :nth] != keys[x, :nth]).all(1)
+        if not due.any():
+            continue
+        # As many words as the longer text has beyond those in common have to be edited at least.
+        longer = np.maximum(size, size[x])
+        marked[flat[ptr[x] : ptr[x + 1]]] = True
+        due &= longer - np.add.reduceat(marked[flat], ptr[:-1]) <= ((1 - THRESHOLD) * longer + 1e-9).astype(np.int64)
+        marked[flat[ptr[x] : ptr[x + 1]]] = False
+        for y in np.flatnonzero(due).tolist():
+            if group[y] == group[x]:
+                continue
+            for z in (x, y):
+                if z not in listed:
+                    listed[z] = words[z].tolist()
+            s = similarity(listed[x], listed[y])
+            if s:
+                out.append((max(ids[x], ids[y]), min(ids[x], ids[y]), s))
+                group[group == group[y]] = group[x]
+    return out
+
+
+def _verify_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come tile by tile; the words of one tile are held."""
+    tile, held = None, []
+
+    def settled() -> list[tuple[int, int, float]]:
+        ids, groups, blocks, words, keys = zip(*held, strict=True) if held else ((),) * 5
+        return verified_in_tile(list(ids), list(groups), np.array(blocks), list(words), np.stack(keys), tile[1]) if len(held) > 1 else []
+
+    def emitted(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+        ids, leads, scores = zip(*found, strict=True) if found else ((),) * 3
+        return K.batch_of(doc_id=pa.array(ids, pa.int64()), lead=pa.array(leads, pa.int64()), similarity=pa.array(scores, pa.float64()))
+
+    for batch in batches:
+        for part, texts in K.chunks(iter([batch])):
+            w = K.Words(texts)
+            some, keys, _ = sketches(texts)
+            row = dict(zip(some.tolist(), range(len(some)), strict=True))
+            found = []
+            columns = (part.column(c).to_pylist() for c in ("key", "nth", "low", "high", "block", "group", "doc_id"))
+            for i, (key, nth, low, high, block, group, own) in enumerate(zip(*columns, strict=True)):
+                if tile != (key, nth, low, high):
+                    found += settled()
+                    tile, held = (key, nth, low, high), []
+                # Of rows that share an id, only those texts that are in the bucket.
+                if i in row and int(keys[row[i], nth].astype(np.int64)) == key:
+                    held.append((own, group, block, w.h[w.ptr[i] : w.ptr[i + 1]].copy(), keys[row[i]].copy()))
+            yield emitted(found)
+    yield emitted(settled())
+
+
+def remaining_pairs(docs: DataFrame, buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Verified pairs that join groups (doc_id, group: of all that are in any) within a bucket."""
+    named = buckets.join(checked_broadcast(groups.withColumnRenamed("doc_id", "grouped")), F.col("doc_id") == F.col("grouped"), "left")
+    named = named.select("doc_id", "nth", "key", F.coalesce("group", "doc_id").alias("group"))
+    mixed = named.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("least <> most").select("key", "blocks")
+    block: Column = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    members = named.join(written(mixed, "near-mixed"), "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = members.select(F.col("doc_id").alias("id"), "key", "nth", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "group").distinct()
+    wanted = written(tiles, "near-tiles")
+    rows = documents(docs).join(checked_broadcast(wanted), F.col("doc_id") == F.col("id")).drop("id")
+    order = ("key", "nth", "low", "high")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_verify_tiles, "doc_id long, lead long, similarity double").groupBy("doc_id", "lead").agg(F.max("similarity").alias("similarity"))
+
+
+def verified_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs whose words are the same or align with at least the threshold (doc_id, lead, similarity), and edges that connect the same documents."""
+    exact, sketched = exact_and_sketched(docs)
+    buckets = shared_buckets(sketched)
+    first = written(lead_pairs(docs, buckets).union(exact), "near-verified")
+    groups = written(components(first), "near-groups")
+    rest = written(remaining_pairs(docs, buckets, groups), "near-remaining")
+    return first.union(rest), groups.withColumnRenamed("group", "lead").union(rest.select("doc_id", "lead"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -215,9 +319,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null, empty or wordless text has no sketch and is in no group; rows with the same doc_id count as one document; an
     empty table gives no rows; further columns are ignored.
     """
-    pairs = verified_pairs(docs)
+    pairs, edges = verified_pairs(docs)
     best = pairs.select("doc_id", "similarity").union(pairs.select("lead", "similarity")).groupBy("doc_id").agg(F.max("similarity").alias("similarity"))
-    return components(pairs).join(best, "doc_id").select("doc_id", F.col("group").alias("duplicate_of"), F.round("similarity", 6).alias("similarity"))
+    return components(edges).join(best, "doc_id").select("doc_id", F.col("group").alias("duplicate_of"), F.round("similarity", 6).alias("similarity"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

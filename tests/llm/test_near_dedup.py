@@ -97,6 +97,19 @@ def test_a_lead_with_many_candidates_is_shared_out(spark, monkeypatch):
     assert len(whole) >= 57
 
 
+def test_copies_of_a_base_that_is_not_the_least_id(spark, monkeypatch):
+    r = random.Random(12)
+    base = text(r, 300)
+    docs = [(i, base if i == 100 else edit(r, base, 0.1)) for i in range(200)]
+    keys = D.sketches([t for _, t in docs])[1]
+    due = {i for i, t in docs if i != 100 and (keys[i] == keys[100]).any() and D.similarity(*([hash(w) for w in x.lower().replace(".", "").split()] for x in (t, base)))}
+    for block in (D.BLOCK, 30):
+        monkeypatch.setattr(D, "BLOCK", block)
+        found = {x["doc_id"]: x["duplicate_of"] for x in D.near_duplicates(frame(spark, docs)).collect()}
+        root = found[100]
+        assert len(due) > 150 and all(found.get(i, i) == root for i in due)
+
+
 def test_rows_that_share_an_id_are_one_document(spark):
     r = random.Random(11)
     x, y = text(r, 80), text(r, 80)
