@@ -23,6 +23,8 @@ from .shared import documents
 #: Characters of labelled text per language from which an automaton is built, rows per language that may supply them,
 #: and letters that have symbols of their own. These bound the fit, never the documents that are parsed.
 TRAIN_CHARS, TRAIN_ROWS, LETTERS = 8_000, 200, 120
+#: Symbols of labelled text that a label needs for an automaton. From fewer, almost any two letters break a phrase and nothing could be rejected.
+LEAST_CHARS = 600
 #: A document is rejected if its phrases exceed this multiple of what its language's own text needs, plus a slack that matters only for short texts.
 MAX_RATIO, SLACK = 1.8, 15.0
 #: Characters of whole documents that are parsed side by side.
@@ -189,7 +191,10 @@ def fit(docs: DataFrame) -> Model:
 
 
 def train(pieces: dict[str, list[str]]) -> Model:
-    """Every language gets an automaton of as many symbols as every other; text beyond that gives its rate."""
+    """Every language gets an automaton from two thirds of its own text, up to TRAIN_CHARS symbols; text beyond that gives its rate.
+
+    A label with less than LEAST_CHARS symbols has no automaton, so no text is identified as it, and changes nothing for the others.
+    """
     count: Counter[int] = Counter()
     for own in pieces.values():
         for t in own:
@@ -200,16 +205,16 @@ def train(pieces: dict[str, list[str]]) -> Model:
     for i, (cp, _) in enumerate(sorted(((c, n) for c, n in count.items() if c and not 48 <= c <= 57), key=lambda x: (-x[1], x[0]))[:LETTERS]):
         alphabet[cp] = i + 2
     data = {lang: [d for d in dict.fromkeys(symbols(own, alphabet)) if d] for lang, own in pieces.items()}  # copies would set the rate to nothing
-    data = {lang: own for lang, own in data.items() if own}
+    data = {lang: own for lang, own in data.items() if sum(map(len, own)) >= LEAST_CHARS}
     if not data:
         return Model(alphabet, {}, {})
-    most = min(TRAIN_CHARS, max(1, min(sum(map(len, own)) for own in data.values()) * 2 // 3))
-    texts = {lang: b"\0".join(own)[:most] for lang, own in data.items()}
+    size = {lang: min(TRAIN_CHARS, sum(map(len, own)) * 2 // 3) for lang, own in data.items()}
+    texts = {lang: b"\0".join(own)[: size[lang]] for lang, own in data.items()}
     model = Model(alphabet, texts, {})
     parser = model.parser()
     for j, lang in enumerate(parser.languages):
         # The median over the pieces that were left out, so that a few odd documents don't set the rate.
-        rest = b"\0".join(data[lang])[most : most + TRAIN_CHARS]
+        rest = b"\0".join(data[lang])[size[lang] : size[lang] + TRAIN_CHARS]
         pieces_ = [rest[i : i + 500] for i in range(0, max(1, len(rest) - 250), 500)]
         model.rates[lang] = float(np.median(parser.count(pieces_)[j] / np.maximum(1, [len(d) for d in pieces_]))) or 1.0
     return model
@@ -239,8 +244,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, language, phrases, n_letters, score, margin and keep of every row with an id.
 
     A text without letters (null, empty, digits, symbols) has a null language and isn't kept. Ties go to the language
-    first in alphabetical order. Repeated rows give repeated rows, an empty table none. Without any labelled row
-    nothing can be identified and nothing is kept.
+    first in alphabetical order. Repeated rows give repeated rows, an empty table none. Without a label that
+    has enough text nothing can be identified and nothing is kept.
     """
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TRAIN_CHARS bytes a language

@@ -54,6 +54,19 @@ def test_held_out_accuracy_and_rejection():
     assert [f[5] for f in L.classify([noise, greek, "", "123 !!", "the"], m)] == [False, False, False, False, True]
 
 
+def test_a_rare_label_changes_nothing_for_the_others():
+    r = random.Random(6)
+    pieces = {lang: [text(r, 3000, lang)] for lang in ("en", "fr", "de")}
+    m = L.train(pieces | {"xx": [text(r, 40)]})
+    assert {lang: len(t) for lang, t in m.texts.items()} == dict.fromkeys(("en", "fr", "de"), L.TRAIN_CHARS)
+    texts = [(lang, text(r, r.choice([8, 30, 300]), lang)) for lang in ("en", "fr", "de") for _ in range(40)]
+    assert sum(f[0] == lang for f, (lang, _) in zip(L.classify([t for _, t in texts], m), texts, strict=True)) >= 0.95 * len(texts)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (300, 1000, 2000) for _ in range(10)]
+    few = L.train(pieces | {"xx": [text(r, 120)]})
+    assert len(few.texts) == 4 and 400 <= len(few.texts["xx"]) < 1500 and len(few.texts["en"]) == L.TRAIN_CHARS
+    assert not any(f[5] for f in L.classify(noise, m)) and not any(f[5] for f in L.classify(noise, few))
+
+
 def test_queries_and_stage(spark):
     r = random.Random(8)
     rows = [(i + 100, text(r, 200, lang), lang) for i, lang in enumerate(["en", "fr", "de"] * 30)]
