@@ -2,8 +2,9 @@
 
 A passage is a run of at least MIN_WORDS words that also stands in a document with a smaller id. Content-defined
 anchors (the least of each WINDOW consecutive hashes of GRAM words) find it: any run of MIN_WORDS words holds an anchor,
-so two documents that share such a run share an anchor. The document with the least id that has an anchor is its
-reference; passages of reference documents around their anchors are spread over shards, and each shard's suffix
+so two documents that share such a run share an anchor. The document with the least id that has a whole run around an
+anchor is the run's reference: where all that have an anchor have the same words around it, that is the least of them;
+where the words around it differ, as they do around a stock phrase, the runs are compared one by one. Passages of reference documents around their anchors are spread over shards, and each shard's suffix
 automaton of words is built once per copy of the shard and streamed over by every document that shares an anchor with
 it. Automata that many documents need are copied to many tasks, the way a broadcast would, but never as a whole corpus.
 
@@ -17,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import documents, written
+from .shared import BROADCAST_ROWS, documents, written
 
 MIN_WORDS, GRAM = 50, 10
 WINDOW = MIN_WORDS - GRAM + 1
@@ -130,12 +131,56 @@ class Automaton:
         return out
 
 
+def contexts(w: K.Words, at: np.ndarray) -> np.ndarray:
+    """A hash of the words that any run of MIN_WORDS words around each anchor can have."""
+    doc = w.doc[at]
+    return K.spans_hash(w.h, np.maximum(at - WINDOW + 1, w.ptr[doc]), np.minimum(at + MIN_WORDS, w.ptr[doc + 1]))
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in K.chunks(batches):
         w = K.Words(texts)
         at, g = anchors(w)
         doc = w.doc[at]
-        yield K.batch_of(anchor=K.signed(g), doc_id=batch.column("doc_id").take(pa.array(doc)), place=(at - w.ptr[doc]).astype(np.int32))
+        yield K.batch_of(anchor=K.signed(g), context=K.signed(contexts(w, at)), doc_id=batch.column("doc_id").take(pa.array(doc)), place=(at - w.ptr[doc]).astype(np.int32))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of all runs of MIN_WORDS words around the anchors that are asked for; texts of a repeated id that don't have them are passed over."""
+    for batch, texts in K.chunks(batches):
+        w = K.Words(texts)
+        asked = batch.column("asked")
+        if isinstance(asked, pa.ChunkedArray):
+            asked = asked.combine_chunks()
+        row, own = np.repeat(np.arange(len(texts)), asked.value_lengths().to_numpy(zero_copy_only=False)), asked.flatten()
+        place, anchor, context, last = (own.field(c).to_numpy(zero_copy_only=False) for c in ("place", "anchor", "context", "last"))
+        at = w.ptr[row] + place
+        fits = np.flatnonzero(at + GRAM <= w.ptr[row + 1])
+        fits = fits[(K.signed(K.spans_hash(w.h, at[fits], at[fits] + GRAM)) == anchor[fits])]
+        fits = fits[K.signed(contexts(w, at[fits])) == context[fits]]
+        start = np.arange(WINDOW) - WINDOW + 1 + at[fits][:, None]
+        nth, which = np.nonzero((start >= w.ptr[row[fits]][:, None]) & (start + MIN_WORDS <= w.ptr[row[fits] + 1][:, None]))
+        start, fits = start[nth, which], fits[nth]
+        run = K.spans_hash(w.h, start, start + MIN_WORDS)
+        yield K.batch_of(run=K.signed(run), anchor=anchor[fits], context=context[fits], first=batch.column("doc_id").take(pa.array(row[fits])), last=last[fits])
+
+
+def owners(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(owner, doc_id, place): for every anchor of a document, the least documents with a run of MIN_WORDS words around it that several have."""
+    one = F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), (F.min("context") != F.max("context")).alias("mixed")
+    shared = written(found.groupBy("anchor").agg(*one).where("owner <> last").drop("last"), "sub-owners")
+    met = written(found.join(shared, "anchor"), "sub-met")
+    plain = met.where("not mixed").select("owner", "doc_id", "place")
+    # Documents with the same words around an anchor have the same runs, so the least of them stands for all.
+    least = F.min(F.struct("doc_id", "place")).alias("least"), F.max("doc_id").alias("last")
+    alike = written(met.where("mixed").groupBy("anchor", "context").agg(*least), "sub-contexts")
+    asked = alike.groupBy(F.col("least.doc_id").alias("id")).agg(F.collect_list(F.struct("least.place", "anchor", "context", "last")).alias("asked"))
+    asked = F.broadcast(asked) if alike.count() <= BROADCAST_ROWS else asked.hint("merge")
+    runs = documents(docs).join(asked, F.col("doc_id") == F.col("id")).select("doc_id", "text", "asked")
+    runs = runs.mapInArrow(_runs, "run long, anchor long, context long, first long, last long")
+    same = Window.partitionBy("run")
+    owned = runs.withColumns({"owner": F.min("first").over(same), "most": F.max("last").over(same)}).where("owner <> most").select("anchor", "context", "owner").distinct()
+    return plain.union(met.drop("owner").join(written(owned, "sub-runs"), ["anchor", "context"]).select("owner", "doc_id", "place"))
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +241,8 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     that repeats itself isn't touched. An empty table gives no rows; further columns are ignored.
     """
     texts = documents(docs)
-    found = written(texts.mapInArrow(_anchors, "anchor long, doc_id long, place int"), "sub-anchors")
-    owner = found.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner <> other").select("anchor", "owner")
-    hits = written(found.join(owner, "anchor").select("owner", "doc_id", "place"), "sub-hits")
+    found = written(texts.mapInArrow(_anchors, "anchor long, context long, doc_id long, place int"), "sub-anchors")
+    hits = written(owners(docs, found), "sub-hits")
     n_reference = hits.where("owner = doc_id").count()
     n_shards = max(1, -(-n_reference // SHARD_ANCHORS))
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(n_shards)).cast("int")

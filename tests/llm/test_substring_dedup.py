@@ -117,6 +117,18 @@ def test_a_passage_in_thousands_of_documents_is_kept_once(spark):
     assert not any(p[20:-20] in x["text"] for x in rows)
 
 
+def test_a_stock_phrase_inside_a_passage_of_later_documents(spark):
+    r = random.Random(8)
+    docs = []
+    for i in range(30):
+        line, around = text(r, 20), [text(r, 18), text(r, 17)]
+        passage = f"{around[0]} {line} {around[1]}"
+        docs += [(i, f"{text(r, 60)} {line} {text(r, 60)}"), *((100 * k + i, f"{text(r, 60)} {passage} {text(r, 60)}") for k in (1, 2))]
+    due = brute(docs)[1]
+    assert set(due) == set(range(200, 230))
+    assert marks(docs, S.shared_passages(frame(spark, docs)).collect()) == due
+
+
 def test_awkward_rows(spark):
     df = awkward(spark)
     rows = S.shared_passages(df).collect()
