@@ -134,32 +134,59 @@ class Benchmark:
         for lo, hi in zip(group, np.append(group[1:], len(a)), strict=True):
             size = int(self.t.ptr[item[lo] + 1] - self.t.ptr[item[lo]])
             base = int(self.t.ptr[item[lo]])
-            covered, tokens = np.zeros(size, bool), np.full(size, -1, np.int64)
             x, y = a[lo:hi], b[lo:hi] - base
-            # The passage is the stretch of the document, no longer than the item allows, that covers most of it.
             by = np.argsort(x, kind="stable")
             x, y, n = x[by], y[by], k[lo:hi][by]
-            far = np.searchsorted(x, x + 2 * size, "right")
-            best = int(np.argmax(far - np.arange(len(x))))
-            for i in range(best, far[best]):
-                span = np.arange(n[i])
-                covered[y[i] + span] = True
-                tokens[y[i] + span] = x[i] + span
-            coverage = float(covered.mean())
-            if coverage < COVERAGE:
-                continue
-            place = np.flatnonzero(covered & self.t.slot[base : base + size])
-            mine, theirs = t.value[tokens[place]].tolist(), self.t.value[base + place].tolist()
-            good = sum(p == 1 for p in _fan(mine, theirs))
-            if len(place) and good < CONSISTENT * len(place):
-                continue
-            changed = sum(p != q for p, q in zip(mine, theirs, strict=True))
-            inside = tokens[covered]
-            d = int(doc[lo])
-            out.append((d, int(item[lo]), coverage, int(far[best] - best), len(place), changed, int(t.s[inside.min()] - t.at[d]), int(t.e[inside.max()] - t.at[d])))
+            d, passing = int(doc[lo]), []
+            for hits in _passages(x, y, size):
+                covered, tokens = np.zeros(size, bool), np.full(size, -1, np.int64)
+                for i in hits:
+                    span = np.arange(n[i])
+                    covered[y[i] + span] = True
+                    tokens[y[i] + span] = x[i] + span
+                coverage = float(covered.mean())
+                if coverage < COVERAGE:
+                    continue
+                place = np.flatnonzero(covered & self.t.slot[base : base + size])
+                mine, theirs = t.value[tokens[place]].tolist(), self.t.value[base + place].tolist()
+                good = sum(p == 1 for p in _fan(mine, theirs))
+                if len(place) and good < CONSISTENT * len(place):
+                    continue
+                changed = sum(p != q for p, q in zip(mine, theirs, strict=True))
+                inside = tokens[covered]
+                passing.append((coverage, len(hits), len(place), changed, int(t.s[inside.min()] - t.at[d]), int(t.e[inside.max()] - t.at[d])))
+            if passing:
+                out.append((d, int(item[lo]), *max(passing, key=lambda p: p[:2])))
         return out
 
 
+def _passages(x: np.ndarray, y: np.ndarray, size: int) -> list[list[int]]:
+    """Hits (document token x in ascending order, item token y) of every passage that may hold the item.
+
+    Stretches no longer than the item allows, from that of most hits on, without those hits that one before has; and
+    chains of hits that go on in both texts along a diagonal, so that variants in a row or a line that is repeated
+    beside the item are looked at one by one.
+    """
+    out, left = [], np.arange(len(x))
+    while len(left):
+        far = np.searchsorted(x[left], x[left] + 2 * size, "right")
+        best = int(np.argmax(far - np.arange(len(left))))
+        out.append(left[best : far[best]].tolist())
+        left = np.delete(left, slice(best, far[best]))
+    chains: list[list[int]] = []
+    at, to = x.tolist(), y.tolist()
+    for i in range(len(at)):
+        chains = [c for c in chains if at[i] - at[c[0]] <= 2 * size]
+        drift = [(abs((at[i] - to[i]) - (at[c[-1]] - to[c[-1]])), -c[-1], c) for c in chains if at[c[-1]] < at[i] and to[c[-1]] < to[i]]
+        off, _, chain = min(drift, default=(WINDOW + 1, 0, []))
+        if off <= WINDOW:
+            chain.append(i)
+        else:
+            chains.append([i])
+            out.append(chains[-1])
+    return out
+
+
 def _fan(mine: list[int], theirs: list[int]) -> list[int]:
     """For each slot, how many values its value is paired with, on the side where that is more."""
     forth: dict[int, set[int]] = {}

@@ -36,6 +36,17 @@ def test_reparameterised_questions_are_found_and_slots_must_be_consistent(spark)
     assert d in QUESTION.strip(".") and len(d) > 0.8 * len(QUESTION)
 
 
+def test_every_passage_of_a_document_is_looked_at(spark):
+    r = random.Random(6)
+    third = NEW.replace("Robert", "Carol").replace("350", "90").replace("70", "45").replace("8 km", "3 km")
+    line = " ".join(QUESTION.split()[:11])
+    docs = [(1, f"{WRONG} {text(r, 200)} {QUESTION}"), (2, f"{NEW} {third} {QUESTION}"), (3, f"{' and '.join([line] * 40)} {text(r, 200)} {QUESTION}"), (4, f"{WRONG} {text(r, 200)} {WRONG}")]
+    found = run(spark, docs, [(10, QUESTION)])
+    assert set(found) == {(1, 10), (2, 10), (3, 10)}
+    assert all(found[i, 10]["coverage"] > 0.8 for i in (1, 2, 3))
+    assert found[1, 10]["doc_start"] > 1000 and found[1, 10]["changed_slots"] == 0
+
+
 def test_against_brute_force(spark):
     r = random.Random(2)
     items = [(i, text(r, r.choice([4, 12, 30, 60]))) for i in range(40)]
