@@ -12,6 +12,7 @@ members aren't all in one group after that get all pairs of different groups com
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import checked_broadcast, documents, written
+from .shared import documents, joined, without, written
 
 SHINGLE, ELL, SKETCHES, THRESHOLD = 4, 2, 24, 0.85
 #: Candidates of one lead that a task compares; a lead with more goes to as many tasks as it takes.
@@ -94,20 +95,24 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
         return n
     width = 2 * most + 1
     full = (1 << width) - 1
-    at: dict[int, int] = {}
+    # Of each symbol its places, how many of them the band has reached, and their bits as seen from the last row that asked.
+    places: dict[int, list[int]] = {}
     for i, x in enumerate(a):
-        at.setdefault(x, []).append(i)  # type: ignore[arg-type]
-    # Bits of each symbol are set lazily from its places, shifted by the band's upper half.
-    bits = {}
-    for x, places in at.items():
-        v = 0
-        for i in places:
-            v |= 1 << (i + most)
-        bits[x] = v
+        places.setdefault(x, []).append(i)
+    seen = {x: [0, 0, 0] for x in places}
     vp, vn = full & ~((1 << most) - 1), 0
     score, low, side = most, 1 << (2 * most), 1 << (2 * most - 1)
     for j, x in enumerate(b):
-        eq = (bits.get(x, 0) >> j) & full
+        eq = 0
+        if x in seen:
+            own, state = places[x], seen[x]
+            nth, eq, row = state
+            eq >>= j - row
+            while nth < len(own) and own[nth] <= j + most:
+                if own[nth] >= j - most:
+                    eq |= 1 << (own[nth] + most - j)
+                nth += 1
+            state[:] = nth, eq, j
         d0 = ((((eq & vp) + vp) & full) ^ vp) | eq | vn
         hp = vn | (full & ~(d0 | vp))
         hn = d0 & vp
@@ -127,7 +132,16 @@ def similarity(a: list[int], b: list[int], threshold: float = THRESHOLD) -> floa
     if not longer:
         return 0.0
     most = int((1 - threshold) * longer + 1e-9)
-    d = banded_distance(a, b, most)
+    # Each edit settles one word at most, so the words beyond those in common are a lower bound.
+    least = longer - sum((Counter(a) & Counter(b)).values())
+    if least > most:
+        return 0.0
+    # A narrow band costs little and is enough for texts that differ little.
+    band = min(most, max(64, 2 * least))
+    d = banded_distance(a, b, band)
+    while band < d and band < most:
+        band = min(most, band * 4)
+        d = banded_distance(a, b, band)
     return 0.0 if d > most else 1 - d / longer
 
 
@@ -160,14 +174,13 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_and_sketched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, lead, similarity 1) of documents whose words are those of a smaller id; and doc_id, keys of all the others."""
+    """(doc_id, lead, similarity 1) of documents whose words are those of a smaller id; and doc_id, keys of every text's first document."""
     rows = written(documents(docs).mapInArrow(_emit, "doc_id long, whole long, again long, keys array<long>"), "near-sketches")
-    first = rows.groupBy("whole", "again").agg(F.min("doc_id").alias("lead"))
+    # Equal words have equal sketches, so a group needs no row but its first; copies are added up before they move.
+    once = written(rows.groupBy("whole", "again").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.first("keys").alias("keys")), "near-once")
+    first = once.where("lead <> last").select("whole", "again", "lead")
     led = rows.select("doc_id", "whole", "again").join(first, ["whole", "again"]).where("doc_id <> lead")
-    exact = written(led.distinct(), "near-exact")
-    # By words and not by id alone: rows that share an id may hold several texts.
-    kept = rows.join(checked_broadcast(exact.select("doc_id", "whole", "again")), ["doc_id", "whole", "again"], "left_anti")
-    return exact.select("doc_id", "lead", F.lit(1.0).alias("similarity")), kept.select("doc_id", "keys")
+    return led.select("doc_id", "lead").distinct().withColumn("similarity", F.lit(1.0)), once.select(F.col("lead").alias("doc_id"), "keys")
 
 
 def shared_buckets(sketched: DataFrame) -> DataFrame:
@@ -186,7 +199,7 @@ def lead_pairs(docs: DataFrame, buckets: DataFrame) -> DataFrame:
     members = pairs.join(shares, "lead").select(F.col("doc_id").alias("id"), "lead", share.alias("share"), F.lit(True).alias("is_member"))
     leads = shares.select(F.col("lead").alias("id"), "lead", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(False).alias("is_member"))
     wanted = written(members.union(leads), "near-wanted")
-    rows = documents(docs).join(checked_broadcast(wanted), F.col("doc_id") == F.col("id")).select("lead", "share", "is_member", "doc_id", "text")
+    rows = joined(documents(docs), wanted).select("lead", "share", "is_member", "doc_id", "text")
     found = rows.repartition("lead", "share").sortWithinPartitions("lead", "share", "is_member").mapInArrow(_verify, "doc_id long, lead long, similarity double")
     return found.groupBy("doc_id", "lead").agg(F.max("similarity").alias("similarity"))
 
@@ -270,14 +283,14 @@ def _verify_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def remaining_pairs(docs: DataFrame, buckets: DataFrame, groups: DataFrame) -> DataFrame:
     """Verified pairs that join groups (doc_id, group: of all that are in any) within a bucket."""
-    named = buckets.join(checked_broadcast(groups.withColumnRenamed("doc_id", "grouped")), F.col("doc_id") == F.col("grouped"), "left")
+    named = buckets.join(groups.withColumnRenamed("doc_id", "grouped"), F.col("doc_id") == F.col("grouped"), "left")
     named = named.select("doc_id", "nth", "key", F.coalesce("group", "doc_id").alias("group"))
     mixed = named.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("least <> most").select("key", "blocks")
     block: Column = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     members = named.join(written(mixed, "near-mixed"), "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiles = members.select(F.col("doc_id").alias("id"), "key", "nth", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "group").distinct()
     wanted = written(tiles, "near-tiles")
-    rows = documents(docs).join(checked_broadcast(wanted), F.col("doc_id") == F.col("id")).drop("id")
+    rows = joined(documents(docs), wanted)
     order = ("key", "nth", "low", "high")
     return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(_verify_tiles, "doc_id long, lead long, similarity double").groupBy("doc_id", "lead").agg(F.max("similarity").alias("similarity"))
 
@@ -329,6 +342,9 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, and all that are in none. Texts are shuffled only if too many ids go to be broadcast."""
-    gone = checked_broadcast(written(near_duplicates(docs).select(F.col("doc_id").alias("_gone")), "near-gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Pipeline stage: one document of each group stays, and all that are in none, those without an id or words included.
+
+    All columns stay as they are. Rows that share an id are one document and stay or go together. An empty table gives
+    none.
+    """
+    return without(docs, written(near_duplicates(docs).select(F.col("doc_id").alias("id")), "near-gone"))

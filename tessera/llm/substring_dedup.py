@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import BROADCAST_ROWS, documents, written
+from .shared import documents, joined, written
 
 MIN_WORDS, GRAM = 50, 10
 WINDOW = MIN_WORDS - GRAM + 1
@@ -175,8 +175,7 @@ def owners(docs: DataFrame, found: DataFrame) -> DataFrame:
     least = F.min(F.struct("doc_id", "place")).alias("least"), F.max("doc_id").alias("last")
     alike = written(met.where("mixed").groupBy("anchor", "context").agg(*least), "sub-contexts")
     asked = alike.groupBy(F.col("least.doc_id").alias("id")).agg(F.collect_list(F.struct("least.place", "anchor", "context", "last")).alias("asked"))
-    asked = F.broadcast(asked) if alike.count() <= BROADCAST_ROWS else asked.hint("merge")
-    runs = documents(docs).join(asked, F.col("doc_id") == F.col("id")).select("doc_id", "text", "asked")
+    runs = joined(documents(docs), written(asked, "sub-asked")).select("doc_id", "text", "asked")
     runs = runs.mapInArrow(_runs, "run long, anchor long, context long, first long, last long")
     same = Window.partitionBy("run")
     owned = runs.withColumns({"owner": F.min("first").over(same), "most": F.max("last").over(same)}).where("owner <> most").select("anchor", "context", "owner").distinct()

@@ -27,6 +27,26 @@ def test_banded_alignment_is_the_edit_distance_within_the_band(a, b, most):
     assert D.banded_distance(a, b, most) == (d if d <= most else most + 1)
 
 
+def test_similarity_is_that_of_the_distance():
+    r = random.Random(3)
+    for n in (3, 200, 700):
+        for rate in (0, 0.02, 0.1, 0.14, 0.2):
+            a = [r.randrange(50) for _ in range(n)]
+            b = [x if r.random() > rate else r.randrange(50) for x in a if r.random() > rate / 4]
+            s = 1 - distance(a, b) / max(len(a), len(b))
+            assert abs(D.similarity(a, b) - (s if s >= D.THRESHOLD - 1e-9 else 0)) < 1e-9
+
+
+def test_filter_of_ids_loses_none(spark, monkeypatch):
+    docs = awkward(spark, [(i, f"text {i}") for i in range(100, 400)])
+    ids = spark.range(150, 250).select("id")
+    for words in (shared.FILTER_WORDS, 1):
+        monkeypatch.setattr(shared, "FILTER_WORDS", words)
+        assert sorted(x["doc_id"] for x in shared.joined(shared.documents(docs), ids).collect()) == list(range(150, 250))
+        kept = shared.without(docs, ids)
+        assert kept.columns == docs.columns and kept.count() == docs.count() - 100 and kept.where("doc_id is null").count() == 2
+
+
 def test_long_alignment():
     r = random.Random(1)
     a = [r.randrange(1000) for _ in range(3000)]
@@ -92,7 +112,7 @@ def test_a_lead_with_many_candidates_is_shared_out(spark, monkeypatch):
     docs = [(i, edit(r, base, 0.02)) for i in range(60)]
     whole = {(x["doc_id"], x["duplicate_of"]) for x in D.near_duplicates(frame(spark, docs)).collect()}
     monkeypatch.setattr(D, "LEAD_SHARE", 4)
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(shared, "FILTER_WORDS", 1)  # the filter lets everything through
     assert {(x["doc_id"], x["duplicate_of"]) for x in D.near_duplicates(frame(spark, docs)).collect()} == whole
     assert len(whole) >= 57
 
