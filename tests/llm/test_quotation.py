@@ -71,6 +71,36 @@ def test_against_brute_force(spark):
             assert x["position"] > got[conv, parent[conv, turn]]["position"]
 
 
+def test_short_and_deep_quotations(spark):
+    r = random.Random(4)
+    a, b, c = text(r, 12), text(r, 12), text(r, 12)
+    rows = [(1, 0, "user", "Yes please"), (1, 1, "assistant", a), (1, 2, "user", f"> Yes please\n{b}"), (1, 3, "user", c), (1, 4, "user", f">> {a}\nindeed"), (1, 5, "user", f"> {c}\n>> {a}\nboth"), (2, 0, "user", "> Yes please\nother"), (2, 1, "user", f"> {a}\n> Yes please\nlines")]
+    got = run(spark, rows)
+    assert {k: (x["link"], x["parent_conv"], x["parent_turn"]) for k, x in got.items()} == {
+        (1, 0): ("start", None, None), (1, 1): ("turn", 1, 0), (1, 2): ("quote", 1, 0), (1, 3): ("turn", 1, 2),
+        (1, 4): ("quote", 1, 1), (1, 5): ("quote", 1, 3), (2, 0): ("start", None, None), (2, 1): ("quote", 1, 1),
+    }
+
+
+def test_one_conversation_over_many_partitions(spark):
+    r = random.Random(5)
+    own = [text(r, 9) for _ in range(3000)]
+    to = [r.randrange(i) if i and r.random() < 0.5 else i - 1 for i in range(3000)]
+    rows = [(7, i, "user", f"{quote(own[to[i]])}\n{own[i]}" if to[i] != i - 1 else own[i]) for i in range(3000)] + [(3, 0, "user", "hi"), (9, 0, "user", "ho")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x["turn"]: x for x in Q.conversations(df).where("conv_id = 7").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    depth = [0] * 3000
+    for i in range(1, 3000):
+        depth[i] = depth[to[i]] + 1
+    assert [got[i]["depth"] for i in range(3000)] == depth and all(x["thread_turn"] == 0 for x in got.values())
+    assert [got[i]["parent_turn"] for i in range(3000)] == [None, *to[1:]]
+    assert [x["turn"] for x in sorted(got.values(), key=lambda x: x["position"])] == sorted(range(3000), key=lambda i: (depth[i], i))
+
+
 def test_awkward_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, "user", ""), (1, 2, None, "> only a quotation of nothing known"), (1, 3, "b", "x"), (1, 3, "a", "y"), (1, 3, "a", "y"), (None, 1, "user", "x"), (2, None, "user", "x"), (2, 7, "user", "> " * 40 + "deep"), (3, 0, "user", "long " * 60_000)]
     df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("h", "c", "t", "k", "first", "m", "before", "words", "level", "passages", "body")})
