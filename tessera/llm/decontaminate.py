@@ -5,11 +5,14 @@ re-parameterised copy have the same template. Windows of template tokens of the
 join, probed by every window of every document inside one pass over the text. Hits that lie on one diagonal of a
 document and an item are aligned, and the values of their slots have to map one to one: a value that the item repeats
 must be repeated in the document and the other way round, whatever the new value is.
+
+A capital that opens a sentence may or may not be a name, so texts are read both ways, on both sides. An item with too
+few literal words for a window (such as "2 + 2 = 4") has no template to speak of and is looked up word for word, as is
+any that is shorter than a window.
 """
 
 from __future__ import annotations
 
-import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +35,11 @@ SCHEMA = "doc_id long, item_id long, coverage double, window_hits int, slots int
 
 
 class Template:
-    """Template tokens of a run of texts: h (hash), value (of a slot), slot, doc, ptr, s and e (bounds in cp)."""
+    """Template tokens of a run of texts: h (hash), value (of a slot), slot, doc, ptr, s and e (bounds in cp). openers: by text, which capitals that open a sentence are names: 0 none, 1 the text's first word, as where it is quoted within a sentence, 2 all."""
 
-    def __init__(self, texts: list[str]) -> None:
-        w = K.Words(texts)
+    def __init__(self, texts: list[str] | K.Words, openers: np.ndarray | int = 0) -> None:
+        w = texts if isinstance(texts, K.Words) else K.Words(texts)
         kind = np.zeros(len(w.h), np.uint64)
-        capital = np.zeros(len(w.h), bool)
         upper = K.upper_table()
         if len(w.h):
             c0 = w.cp[w.s]
@@ -46,7 +48,8 @@ class Template:
             one, two = w.cp[np.maximum(w.s - 1, 0)], w.cp[np.maximum(w.s - 2, 0)]
             inside = ((one == 32) & (K.lower_table()[two] != 0) | (one == 32) & np.isin(two, [44, 59])) & (w.s >= w.at[w.doc] + 2)
             capital = upper[c0] & ~upper[second] & (w.e - w.s > 1)
-            name = capital & inside
+            reading = np.broadcast_to(openers, w.n)[w.doc]
+            name = capital & (inside | (reading == 2) | (reading == 1) & (np.arange(len(w.h)) == w.ptr[w.doc]))
             unit = np.isin(w.h, _units())
             unit[1:] &= number[:-1] & (w.doc[1:] == w.doc[:-1])
             unit[:1] = False
@@ -54,21 +57,12 @@ class Template:
         keep = np.ones(len(kind), bool)
         keep[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | (w.doc[1:] != w.doc[:-1])
         first = np.flatnonzero(keep)
-        self.slot, self.opens = kind[first] != 0, capital[first]
+        self.slot = kind[first] != 0
         self.h = np.where(self.slot, kind[first], w.h[first])
         last = np.append(first[1:], len(kind)) - 1
         self.value = K.spans_hash(w.h, first, last + 1) if len(first) else w.h
         self.s, self.e, self.doc, self.at = w.s[first], w.e[last] if len(first) else w.e, w.doc[first], w.at
-        self.ptr = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-
-    def opening_as_name(self) -> Template:
-        """The same tokens, but a capitalised word that opens a text taken for a name, as it may be where the text is quoted within a sentence."""
-        other = copy.copy(self)
-        first = self.ptr[:-1][np.diff(self.ptr) > 0]
-        first = first[self.opens[first] & ~self.slot[first]]
-        other.h, other.slot = self.h.copy(), self.slot.copy()
-        other.h[first], other.slot[first] = NAME, True
-        return other
+        self.ptr = np.searchsorted(self.doc, np.arange(w.n + 1))
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start and hash of every window of k tokens that lies in one text and has enough literal tokens."""
@@ -77,7 +71,7 @@ class Template:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         start = np.arange(n)
         literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        ok = (self.doc[:n] == self.doc[k - 1 :]) & (literal[k:] - literal[:-k] >= min(k, LITERALS))
+        ok = (self.doc[:n] == self.doc[k - 1 :]) & (literal[k:] - literal[:-k] >= LITERALS)
         start = start[ok]
         return start, K.spans_hash(self.h, start, start + k)
 
@@ -88,24 +82,41 @@ def _units() -> np.ndarray:
 
 
 class Benchmark:
-    """Windows of a shard of the benchmark, by window length, and the items' tokens for the check of slots."""
+    """Windows of a shard of the benchmark, by window length, and the items' tokens for the check of slots; words of items without windows."""
 
     def __init__(self, items: list[int], texts: list[str]) -> None:
-        self.items = np.array(items, np.int64)
-        t = self.t = Template(texts)
+        rows, seen = [], set()
+        for reading in range(3):
+            one = Template(texts, reading)
+            for i in range(len(texts)):
+                key = i, one.h[one.ptr[i] : one.ptr[i + 1]].tobytes()
+                if key not in seen:
+                    seen.add(key)
+                    rows.append((i, reading))
+        self.items = np.array([items[i] for i, _ in rows], np.int64)
+        t = self.t = Template([texts[i] for i, _ in rows], np.array([x for _, x in rows]))
         size = np.diff(t.ptr)
-        self.tables = []
+        self.tables, windowed = [], set()
         for k in sorted({int(min(WINDOW, n)) for n in size if n}):
-            start, h = (np.concatenate(x) for x in zip(t.windows(k), t.opening_as_name().windows(k), strict=True))
+            start, h = t.windows(k)
             own = size[t.doc[start]] >= WINDOW if k == WINDOW else size[t.doc[start]] == k
             start, h = start[own], h[own]
-            _, once = np.unique(np.stack([start.astype(np.uint64), h], 1), axis=0, return_index=True)
-            start, h = start[once], h[once]
             if not len(h):
                 continue
+            windowed |= {rows[x][0] for x in np.unique(t.doc[start]).tolist()}
             order = np.argsort(h, kind="stable")
             keys, first = np.unique(h[order], return_index=True)
             self.tables.append((k, K.Lookup(keys), start[order], np.append(first, len(h))))
+        self.plain: list[tuple[int, K.Lookup, list[list[int]]]] = []
+        w = K.Words(texts)
+        n, h = np.diff(w.ptr), K.spans_hash(w.h, w.ptr[:-1], w.ptr[1:])
+        exact = [i for i in range(len(texts)) if (i not in windowed or size[i] < WINDOW) and n[i] > 1]  # the first readings stand first
+        for k in sorted({int(n[i]) for i in exact}):
+            own: dict[int, list[int]] = {}
+            for i in exact:
+                if n[i] == k:
+                    own.setdefault(int(h[i]), []).append(i)
+            self.plain.append((k, K.Lookup(np.array(list(own), np.uint64)), [[items[i] for i in x] for x in own.values()]))
 
     def hits(self, t: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document token, item token and window length of every window that both have."""
@@ -120,8 +131,29 @@ class Benchmark:
             found.append((np.repeat(at[hit], n), starts[np.repeat(first[row], n) + nth], np.full(int(n.sum()), k)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
 
-    def contaminated(self, t: Template) -> list[tuple]:
-        """(text, item, coverage, hits, slots, changed slots, first and last character) of the best passage for each text and item."""
+    def contaminated(self, texts: list[str]) -> list[tuple]:
+        """(text, item id, coverage, hits, slots, changed slots, first and last character) of the best passage for each text and item."""
+        w = K.Words(texts)
+        best: dict[tuple[int, int], tuple] = {}
+        for d, i, *found in [*self._word_for_word(w), *self._aligned(Template(w)), *self._aligned(Template(w, 2))]:
+            # Of two passages the better covered, then that with more hits, fewer changed slots, and the earlier.
+            key, rank = (d, i), (found[0], found[1], -found[3], -found[4])
+            if key not in best or rank > best[key][0]:
+                best[key] = rank, found
+        return [(*key, *found) for key, (_, found) in sorted(best.items())]
+
+    def _word_for_word(self, w: K.Words) -> Iterator[tuple]:
+        for k, lookup, rows in self.plain:
+            start = np.arange(max(0, len(w.h) - k + 1))
+            start = start[w.doc[start] == w.doc[start + k - 1]]
+            row = lookup(K.spans_hash(w.h, start, start + k))
+            for at, r in zip(start[row >= 0].tolist(), row[row >= 0].tolist(), strict=True):
+                d = int(w.doc[at])
+                for i in rows[r]:
+                    yield d, i, 1.0, 1, 0, 0, int(w.s[at] - w.at[d]), int(w.e[at + k - 1] - w.at[d])
+
+    def _aligned(self, t: Template) -> list[tuple]:
+        """The best passage for each text and reading of an item."""
         a, b, k = self.hits(t)
         if not len(a):
             return []
@@ -156,7 +188,7 @@ class Benchmark:
                 inside = tokens[covered]
                 passing.append((coverage, len(hits), len(place), changed, int(t.s[inside.min()] - t.at[d]), int(t.e[inside.max()] - t.at[d])))
             if passing:
-                out.append((d, int(item[lo]), *max(passing, key=lambda p: p[:2])))
+                out.append((d, int(self.items[item[lo]]), *max(passing, key=lambda p: p[:2])))
         return out
 
 
@@ -210,9 +242,11 @@ def shards(benchmark: DataFrame) -> Iterator[Benchmark]:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Passages of the benchmark in documents: doc_id, item_id, coverage, window_hits, slots, changed_slots, doc_start, doc_end.
 
-    One row for a row of docs and an item that it contains, with the passage's bounds in characters. Clean documents
-    have no row; nor have rows without an id and null or empty texts. Repeated rows give repeated rows; empty tables on
-    either side give none; further columns are ignored.
+    One row for a row of docs and an item that it contains, with the bounds in characters of the best passage: the best
+    covered, then that with more hits, with fewer changed slots, and the first. Texts that share an item's id are all
+    looked for. Clean documents have no row; nor have rows without an id and null or empty texts. A text of any length
+    is searched whole. An item of one word says nothing and is never found. Repeated rows give repeated rows; empty
+    tables on either side give none; further columns are ignored.
     """
     spark = docs.sparkSession
     out = spark.createDataFrame([], SCHEMA)
@@ -222,12 +256,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch, texts in K.chunks(batches):
                 own = shared.value
-                rows = own.contaminated(Template(texts))
+                rows = own.contaminated(texts)
                 if rows:
                     doc, item, *rest = zip(*rows, strict=True)
                     cols = dict(zip(("coverage", "window_hits", "slots", "changed_slots", "doc_start", "doc_end"), rest, strict=True))
                     cols = {c: pa.array(v, pa.float64() if c == "coverage" else pa.int32()) for c, v in cols.items()}
-                    yield K.batch_of(doc_id=batch.column("doc_id").take(pa.array(doc)), item_id=own.items[list(item)], **cols)
+                    yield K.batch_of(doc_id=batch.column("doc_id").take(pa.array(doc)), item_id=np.array(item, np.int64), **cols)
 
         out = out.union(documents(docs).mapInArrow(run, SCHEMA))
     return out.withColumn("coverage", F.round("coverage", 6))
@@ -238,7 +272,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a passage of any benchmark item go. The text never leaves the one pass over it."""
+    """Pipeline stage: documents with a passage of any benchmark item go. The text never leaves the one pass over it.
+
+    Rows without an id are searched like all others; null and empty texts stay; repeated rows stay or go together; all
+    columns stay as they are; with an empty benchmark every row stays.
+    """
     fields = docs.schema
     for shard in shards(spark.read.parquet(f"{sf_dir}/benchmark.parquet")):
         shared = spark.sparkContext.broadcast(shard)
@@ -246,7 +284,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch, texts in K.chunks(batches):
                 clean = np.ones(len(texts), bool)
-                clean[[r[0] for r in shared.value.contaminated(Template(texts))]] = False
+                clean[[r[0] for r in shared.value.contaminated(texts)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, fields)

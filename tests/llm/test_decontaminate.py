@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 from pyspark.sql import types as T
 
 from tessera.llm import decontaminate as C
@@ -67,15 +69,18 @@ def test_against_brute_force(spark):
     same = {(a, b) for a in range(40) for b in range(40) if items[a][1] == items[b][1]}
     assert due <= set(found)
     for d, item in found:
-        t, own = C.Template([dict(docs)[d], dict(items)[item]]), None
-        a, b = (t.h[t.ptr[i] : t.ptr[i + 1]].tolist() for i in range(2))
-        w = min(C.WINDOW, len(b))
-        grams = {tuple(a[i : i + w]) for i in range(len(a) - w + 1)}
-        own = set()
-        for i in range(len(b) - w + 1):
-            if tuple(b[i : i + w]) in grams:
-                own |= set(range(i, i + w))
-        assert len(own) / len(b) >= C.COVERAGE
+        best = 0
+        for x, y in itertools.product((0, 2), range(3)):  # openers as words and as names, on either side
+            t = C.Template([dict(docs)[d], dict(items)[item]], np.array([x, y]))
+            a, b = (t.h[t.ptr[i] : t.ptr[i + 1]].tolist() for i in range(2))
+            w = min(C.WINDOW, len(b))
+            grams = {tuple(a[i : i + w]) for i in range(len(a) - w + 1)}
+            own = set()
+            for i in range(len(b) - w + 1):
+                if tuple(b[i : i + w]) in grams:
+                    own |= set(range(i, i + w))
+            best = max(best, len(own) / len(b))
+        assert best >= C.COVERAGE
     assert same and not never
 
 
@@ -86,6 +91,39 @@ def test_lightly_edited_copies_are_found(spark):
     assert sum((i, i) in run(spark, docs, items) for i, _ in items) >= 27
 
 
+def test_names_that_open_sentences(spark):
+    r = random.Random(7)
+    item = "Tom has 5 apples. Ann gives him 3 more. Bob eats 2. How many apples does Tom have now?"
+    new = "Sam has 9 apples. Eve gives him 4 more. Max eats 7. How many apples does Sam have now?"
+    bad = "Sam has 9 apples. Eve gives him 4 more. Max eats 7. How many apples does Eve have now?"
+    two = "Ann Lee has 4 red cars and Tom has 7 blue ones, so what do they have?"
+    docs = [(1, f"{text(r, 100)} {new} {text(r, 100)}"), (2, text(r, 300)), (3, f"{text(r, 30)} and then Eva Moss has 8 red cars and Jim has 2 blue ones, so what do they have?"), (4, bad)]
+    found = run(spark, docs, [(10, item), (11, two)])
+    assert set(found) == {(1, 10), (3, 11), (4, 10)} or set(found) == {(1, 10), (3, 11)}
+    assert found[1, 10]["changed_slots"] > 0 and found[1, 10]["coverage"] > 0.9
+
+
+def test_items_without_a_window_are_found_word_for_word(spark):
+    r = random.Random(8)
+    items = [(1, "2 + 2 = 4"), (2, "Paris 12"), (3, "What is 7 times 8"), (4, "Yes")]
+    docs = [(1, f"{text(r, 50)} so 2 + 2 = 4 it is"), (2, "paris 12"), (3, f"{text(r, 50)} and what is 7 times 8 or so"), (4, f"yes {text(r, 90)} 2 2 5 paris 13"), (5, "a What is 7 times 8 b"), (6, f"{text(r, 50)} what is 9 times 6")]
+    assert set(run(spark, docs, items)) == {(1, 1), (2, 2), (3, 3), (5, 3), (6, 3)}
+
+
+def test_stage_over_several_shards(spark, tmp_path, monkeypatch):
+    r = random.Random(9)
+    items = [(i, text(r, 25)) for i in range(20)]
+    spark.createDataFrame(items, ITEMS).write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = awkward(spark, [(100 + i, f"{text(r, 40)} {items[i][1]} {text(r, 40)}" if i % 2 else text(r, 90)) for i in range(20)])
+    kept = []
+    for size in (C.SHARD_CHARS, 300):
+        monkeypatch.setattr(C, "SHARD_CHARS", size)
+        out = C.stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        kept.append(sorted(-1 if x["doc_id"] is None else x["doc_id"] for x in out.collect()))
+    assert kept[0] == kept[1] == sorted(-1 if x["doc_id"] is None else x["doc_id"] for x in df.collect() if x["doc_id"] not in range(101, 120, 2))
+
+
 def test_a_benchmark_in_shards_gives_the_same_rows(spark, monkeypatch):
     r = random.Random(4)
     items = [(i, text(r, 25)) for i in range(20)]
