@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,9 +35,20 @@ def reconstruct(nodes: Column | str) -> Column:
     return F.array_join(F.transform(_col(nodes), lambda n: n["data"]), "")
 
 
+#: What a quoted string shows instead of a character; further control characters are shown by their number.
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\0": "\\0"}
+_ESCAPES |= {chr(i): f"\\u{{{i:x}}}" for i in [*range(1, 32), *range(127, 160)] if chr(i) not in _ESCAPES}
+
+
+def quoted(data: Column) -> Column:
+    """Text in double quotes, with the backslash, the quote and control characters escaped."""
+    plain = F.concat(F.lit('"'), data, F.lit('"'))
+    escaped = reduce(lambda d, c: F.replace(d, F.lit(c), F.lit(_ESCAPES[c])), _ESCAPES, data)
+    return F.when(data.rlike(r'[\\"\p{Cntrl}\x80-\x9f]'), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(plain)
+
+
 def display(language: Column | str, nodes: Column | str) -> Column:
     """A readable form of an atom, for logs."""
-    quoted = lambda d: F.concat(F.lit('"'), F.replace(F.replace(d, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     shown = F.transform(_col(nodes), lambda n: F.concat(F.when(is_text(n), F.lit("Text(")).otherwise(F.lit("Placeholder(")), quoted(n["data"]), F.lit(")")))
     return F.concat(F.lit("Atom(language="), _col(language), F.lit(", content=["), F.array_join(shown, ", "), F.lit("])"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +23,10 @@ def encode_atoms(rows: DataFrame) -> DataFrame:
 
 
 def decode_atoms(stored: DataFrame) -> DataFrame:
-    """language and content of stored atoms; reading a row that is invalid in a column that is used fails the query."""
+    """language and content of stored atoms. One invalid row fails the whole read, whichever columns are used of it."""
     require(stored.schema, ATOM_INPUT)
-    return stored.select(V.language_tag("language").alias("language"), V.content("content").alias("content"))
+    # The check is a filter, which column pruning can't remove.
+    return stored.where(V.language_tag("language").isNotNull() & V.content("content").isNotNull()).select("language", "content")
 
 
 def encode_observations(rows: DataFrame) -> DataFrame:
@@ -41,14 +44,10 @@ def encode_observations(rows: DataFrame) -> DataFrame:
 
 
 def decode_observations(stored: DataFrame) -> DataFrame:
+    """The five fields of stored observations. One invalid row fails the whole read, whichever columns are used of it."""
     require(stored.schema, OBSERVATION_INPUT)
-    return stored.select(
-        V.kind("kind").alias("kind"),
-        V.subjects("subjects").alias("subjects"),
-        V.timestamp("recorded_at").alias("recorded_at"),
-        V.timestamp("effective_at").alias("effective_at"),
-        _payload("payload").alias("payload"),
-    )
+    checked = [V.kind("kind"), V.subjects("subjects"), V.timestamp("recorded_at"), V.timestamp("effective_at"), _payload("payload")]
+    return stored.where(reduce(lambda a, b: a & b, (c.isNotNull() for c in checked))).select("kind", "subjects", "recorded_at", "effective_at", "payload")
 
 
 def _payload(c: str) -> Column:
@@ -62,8 +61,11 @@ class Store:
 
     schema: T.StructType
     key: str
-    cluster: str
+    cluster: tuple[str, ...]  # order of indexed fragments: what is looked up first, then what else finds few rows
+    blooms: tuple[str, ...]
     index_names: tuple[str, ...]
+    #: Fragments below this size are merged by `compact`; larger ones stay as they are.
+    COMPACT_BYTES = 1 << 30
 
     def __init__(self, data: Dataset, manifest: Manifest) -> None:
         self.data, self.manifest = data, manifest
@@ -73,8 +75,8 @@ class Store:
         """The latest version, or an older one that hasn't been cleaned up; fails if there is no dataset."""
         data = Dataset(spark, uri)
         manifest = data.read(version)
-        if manifest.fragments:
-            require(spark.read.parquet(*map(data.location, manifest.fragments[:1])).schema, cls.schema)
+        for fragment in manifest.fragments:
+            require(spark.read.parquet(data.location(fragment)).schema, cls.schema)
         return cls(data, manifest)
 
     @classmethod
@@ -99,7 +101,7 @@ class Store:
         """
         known = self.stored().select(self.key)
         fresh = encoded.join(known, self.key, "left_anti") if self.manifest.fragments else encoded
-        fragment = self.data.write(fresh, self.cluster)
+        fragment = self.data.write(fresh, *self.blooms)
         n = self.data.scan((fragment,), self.schema).count()
         if not n:
             self.data.remove(fragment)
@@ -108,8 +110,8 @@ class Store:
         return n
 
     def _clustered(self, rows: DataFrame) -> str:
-        """Write rows in order of the key that is looked up, so that row group statistics and bloom filters prune."""
-        return self.data.write(rows.repartitionByRange(self.cluster).sortWithinPartitions(self.cluster), self.cluster)
+        """Write rows in order of what is looked up, so that row group statistics and bloom filters prune."""
+        return self.data.write(rows.repartitionByRange(*self.cluster).sortWithinPartitions(*self.cluster), *self.blooms)
 
     def _index(self, rows: DataFrame, fragment: str) -> dict[str, object]:
         """Side tables of the rows of a new indexed fragment, as changes of the manifest."""
@@ -141,19 +143,31 @@ class Store:
         self.manifest = self.data.commit(self.manifest, **changes)
 
     def compact(self) -> bool:
-        """Merge all fragments into one, indexes included if there are any; False, and no new version, if there is only one."""
-        if len(self.manifest.fragments) < 2:
+        """Merge the small fragments into one, indexes included if there are any; False, and no new version, if there is at most one."""
+        small = tuple(f for f in self.manifest.fragments if self.data.size(f) < self.COMPACT_BYTES)
+        if len(small) < 2:
             return False
-        new = self._clustered(self.stored())
-        changes: dict[str, object] = {"fragments": (new,)}
+        new = self._clustered(self.data.scan(small, self.schema))
+        keep = lambda names: (*(f for f in names if f not in small), new)
+        changes: dict[str, object] = {"fragments": keep(self.manifest.fragments)}
         if self.manifest.indexes:
-            changes |= {"indexed": (new,), "side": ()} | self._index(self.data.scan((new,), self.schema), new)
+            changes["indexed"] = keep(self.manifest.indexed)
+            behind = tuple(f for f in small if f not in self.manifest.indexed)
+            if behind:
+                side = self._index(self.data.scan(behind, self.schema), new).get("side", ())
+                changes["side"] = (*self.manifest.side, *side)  # type: ignore[misc]
         self.manifest = self.data.commit(self.manifest, **changes)
         return True
 
-    def cleanup_versions(self, retain: int) -> RemovalStats:
-        """Drop all versions but the newest `retain`, which can't be opened again afterwards."""
-        return self.data.cleanup(retain)
+    def expose(self, name: str) -> DataFrame:
+        """Make this version's rows a temporary view for SQL."""
+        rows = self.stored()
+        rows.createOrReplaceTempView(name)
+        return rows
+
+    def cleanup_versions(self, retain: int, unlisted_s: float = 7 * 86_400) -> RemovalStats:
+        """Drop all versions but the newest `retain`, which can't be opened again afterwards, and what failed writes left longer than unlisted_s ago."""
+        return self.data.cleanup(retain, unlisted_s)
 
     def verify(self) -> DataFrame:
         """Stored rows whose key doesn't follow from their content, or that aren't valid: normally none."""
@@ -163,14 +177,15 @@ class Store:
 class AtomStore(Store):
     """Content-addressed strings. Rows are unique by row digest; an atom id may have several, one for each markup."""
 
-    schema, key, cluster, index_names = ATOMS, "row_digest", "atom_id", ("atom_id_idx",)
+    schema, key, cluster, index_names = ATOMS, "row_digest", ("atom_id",), ("atom_id_idx",)
+    blooms = ("atom_id",)
 
     def put_atoms(self, atoms: DataFrame) -> int:
         return self._put(encode_atoms(atoms))
 
     def get_atoms(self, digest: bytes) -> DataFrame:
         """All markup variants of an atom id, in no order; none if it is unknown."""
-        return decode_atoms(self.stored().where(F.col("atom_id") == F.lit(bytearray(digest))))
+        return decode_atoms(self.stored().where(F.col("atom_id") == F.lit(bytearray(check_digest(digest)))))
 
     def verify(self) -> DataFrame:
         right = (F.col("atom_id") == atom_id("language", "content")) & (F.col("row_digest") == row_digest("language", "content"))
@@ -181,7 +196,8 @@ class AtomStore(Store):
 class ObservationStore(Store):
     """Append-only facts with two times: when recorded, and from when they hold."""
 
-    schema, key, cluster = OBSERVATIONS, "observation_id", "observation_id"
+    schema, key, cluster = OBSERVATIONS, "observation_id", ("kind", "observation_id")
+    blooms = ("observation_id", "kind")
     index_names = ("observation_id_idx", "kind_idx", "subjects_idx")
     SIDE = T.StructType([T.StructField("subject", T.BinaryType()), T.StructField("observation_id", T.BinaryType())])
 
@@ -190,10 +206,10 @@ class ObservationStore(Store):
 
     def get_observation(self, digest: bytes) -> DataFrame:
         """The observation with this id, or no row."""
-        return decode_observations(self.stored().where(F.col("observation_id") == F.lit(bytearray(digest)))).limit(1)
+        return decode_observations(self.stored().where(F.col("observation_id") == F.lit(bytearray(check_digest(digest))))).limit(1)
 
     def get_observations_of_kind(self, kind: str) -> DataFrame:
-        """All observations of exactly this kind, in no order."""
+        """All observations of exactly this kind, in no order. Indexed fragments lie in order of kind, so only their files and row groups of this kind are read."""
         return decode_observations(self.stored().where(F.col("kind") == F.lit(kind)))
 
     def get_observations_by_subject(self, digest: bytes) -> DataFrame:
@@ -201,7 +217,7 @@ class ObservationStore(Store):
 
         Indexed fragments are reached through the inverted table, which is clustered by subject; the rest is scanned.
         """
-        subject = F.lit(bytearray(digest))
+        subject = F.lit(bytearray(check_digest(digest)))
         has = lambda df: df.where(F.array_contains("subjects", subject))
         if not self.manifest.side:
             return decode_observations(has(self.stored()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,6 +17,7 @@ from ..functions import normalize as Z
 from ..functions import validate as V
 from ..functions import xliff as X
 from ..functions.canonical import canonical_json
+from ..model import BackendError
 from ..operators.stores import AtomStore, ObservationStore, encode_atoms, encode_observations
 from ..streaming import sink
 from . import readmodels as R
@@ -29,8 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new dataset's place: below the cluster's shared folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    """A new dataset's place: below the cluster's shared folder; only a session on one machine may have none set, and gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(?!-cluster)", spark.sparkContext.master):
+            raise BackendError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
@@ -51,7 +57,7 @@ def _en(text: Column) -> Column:
     return I.atom_id(F.lit("en-US"), N.content(N.text(text)))
 
 
-# --- identity -------------------------------------------------------------------------------------------------------
+# identity
 
 
 def atom_identity(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +97,14 @@ def canonical_payload(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", canonical_json("props").alias("payload"))
 
 
-# --- projections and normalisation ----------------------------------------------------------------------------------
+def canonical_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys in order at every depth, repeated keys, floats, minus zero, escapes and large numbers."""
+    k = F.col("user_id").cast("string")
+    text = F.concat(F.lit('{ "z" : {"b": -0.0, "a": [1.50, true, null, {"y": 1e2, "x": '), k, F.lit('}]},\n "k":'), k, F.lit(', "é": "\\u00e9\\n", "B": 12345678901234567890123, "a": 1, "a": 2, "": 0.00001}'))
+    return table(spark, sf, "events").select("event_id", canonical_json(text).alias("payload"))
+
+
+# projections and normalisation
 
 
 def reconstruct(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,6 +144,11 @@ def unicode_forms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", *(F.md5(N.reconstruct(Z.normalize_unicode(content, f))).alias(f) for f in Z.UNICODE_FORMS))
 
 
+def display_escapes(spark: SparkSession, sf: str) -> DataFrame:
+    data = F.concat(F.lit('a"b\\c\n\t\r\0\x01\x7f'), F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", N.display(F.lit("en-US"), N.content(N.text(data))).alias("shown"))
+
+
 def language_case(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).select("doc_id", Z.normalize_language("language", "lower").alias("lower"), Z.normalize_language("language", "upper").alias("upper"))
 
@@ -146,7 +164,24 @@ def kind_validation(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")).select("kind", "n", V.kind_ok("kind").alias("valid"))
 
 
-# --- segments -------------------------------------------------------------------------------------------------------
+def region_script(spark: SparkSession, sf: str) -> DataFrame:
+    tags = F.array(_tag("lang"), F.concat("lang", F.lit("-Latn-"), F.upper("lang")), F.concat("lang", F.lit("-419-x-a1")), F.col("lang"))
+    rows = table(spark, sf, "documents").select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return rows.select("tag", "n", N.region("tag").alias("region"), N.script("tag").alias("script"))
+
+
+def row_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Node kinds, null data, the width of subjects, and payloads."""
+    node = lambda k, d: F.struct(k.alias("node_kind"), d.alias("data"))
+    kind = F.element_at(F.array(F.lit("text"), F.lit("placeholder"), F.lit("bogus"), F.lit("Text"), F.lit(None).cast("string")), (F.col("p_partkey") % 5).cast("int") + 1)
+    data = F.when(F.col("p_partkey") % 7 > 0, F.col("p_name"))
+    width = (F.col("p_partkey") % 3).cast("int") + 31
+    subject = F.substring(F.sha2(F.col("p_name"), 512).cast("binary"), F.lit(1), width)
+    payload = F.element_at(F.array(F.lit('{"a":1}'), F.lit("not json"), F.lit("null"), F.lit("")), (F.col("p_partkey") % 4).cast("int") + 1)
+    return table(spark, sf, "part").select("p_partkey", V.nodes_ok(F.array(node(kind, data))).alias("nodes"), V.subjects_ok(F.array(subject)).alias("subjects"), F.try_parse_json(payload).isNotNull().alias("payload"))
+
+
+# segments
 
 
 def _segment() -> Column:
@@ -177,7 +212,7 @@ def emit_verbatim(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).select("doc_id", F.md5(X.emit_segment("content", "verbatim")).alias("digest"))
 
 
-# --- stores ---------------------------------------------------------------------------------------------------------
+# stores
 
 
 def atoms_by_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,7 +282,79 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return store.stored().groupBy("language").agg(F.count("*").alias("atoms"))
 
 
-# --- planned read models --------------------------------------------------------------------------------------------
+def open_at_version(spark: SparkSession, sf: str) -> DataFrame:
+    """Reopened at each version, after the writer is gone: rows stored then."""
+    uri, docs = _scratch(spark), _documents(spark, sf)
+    store = AtomStore.create(spark, uri)
+    for lang in ("en-US", "fr-FR", "de-DE"):
+        store.put_atoms(docs.where(F.col("language") == lang))
+    seen = [(v, AtomStore.open(spark, uri, v).stored().count()) for v in (1, 2, 3, 4)] + [(0, AtomStore.open(spark, uri).stored().count())]
+    return spark.createDataFrame(seen, "version long, stored long")
+
+
+def kind_after_index(spark: SparkSession, sf: str) -> DataFrame:
+    """A kind from fragments that the index covers and one that it doesn't cover yet."""
+    store, facts = ObservationStore.create(spark, _scratch(spark)), _event_observations(spark, sf)
+    store.put_observations(facts.where("event_id % 2 = 0").drop("event_id"))
+    store.ensure_indexes()
+    store.put_observations(facts.drop("event_id"))
+    return store.get_observations_of_kind("click").select("kind", F.unix_micros("recorded_at").alias("recorded_us"), "payload")
+
+
+def subject_after_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """A subject's observations after indexed and other fragments were merged."""
+    store, facts = ObservationStore.create(spark, _scratch(spark)), _event_observations(spark, sf)
+    store.put_observations(facts.where("event_id % 2 = 0").drop("event_id"))
+    store.ensure_indexes()
+    store.put_observations(facts.drop("event_id"))
+    store.compact()
+    wanted = spark.range(1).select(_en(F.lit("7")).alias("i")).first()["i"]
+    return store.get_observations_by_subject(wanted).select("kind", F.unix_micros("recorded_at").alias("recorded_us"), "payload")
+
+
+def lifecycle_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """What opening, creating and reading refuse: the kind of error of each case."""
+    docs, uri, absent = _documents(spark, sf), _scratch(spark), _scratch(spark)
+    store = AtomStore.create(spark, uri)
+    store.put_atoms(docs)
+    bad = AtomStore.create(spark, _scratch(spark))
+    rows = store.stored()
+    first = rows.agg(F.min("row_digest").alias("d")).first()["d"]
+    broken = rows.withColumn("content", F.when(F.col("row_digest") == F.lit(first), F.array(F.struct(F.lit("bogus").alias("node_kind"), F.lit("x").alias("data")))).otherwise(F.col("content")))
+    bad.manifest = bad.data.commit(bad.manifest, fragments=(bad.data.write(broken),))
+    from ..operators.stores import decode_atoms
+
+    cases = {
+        "open absent": lambda: AtomStore.open(spark, absent),
+        "create twice": lambda: AtomStore.create(spark, uri),
+        "open later version": lambda: AtomStore.open(spark, uri, 9),
+        "wrong columns": lambda: ObservationStore.open(spark, uri),
+        "put wrong columns": lambda: store.put_atoms(docs.select("doc_id")),
+        "corrupt row": lambda: decode_atoms(bad.stored()).select("language").count(),
+        "short digest": lambda: store.get_atoms(b"31 bytes"),
+        "bad language": lambda: store.put_atoms(docs.withColumn("language", F.lit("en"))),
+        "stored as before": lambda: store.stored().count(),
+    }
+    seen = []
+    for case, act in cases.items():
+        try:
+            act()
+            seen.append((case, "none"))
+        except Exception as e:
+            codes = ("UnknownNodeKind", "InvalidLanguageTag")
+            seen.append((case, next((c for c in codes if c in str(e)), type(e).__name__)))
+    return spark.createDataFrame(seen, "case string, error string")
+
+
+def sql_view(spark: SparkSession, sf: str) -> DataFrame:
+    """A store's rows in SQL."""
+    store = AtomStore.create(spark, _scratch(spark))
+    store.put_atoms(_documents(spark, sf))
+    store.expose("tessera_atoms")
+    return spark.sql("SELECT language, count(*) AS atoms, max(length(content[0].data)) AS longest FROM tessera_atoms GROUP BY language")
+
+
+# planned read models
 
 
 def _label_observations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -311,7 +418,7 @@ def reachability(spark: SparkSession, sf: str) -> DataFrame:
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Planned: nearest vectors, exactly, with every row as a query."""
     v = table(spark, sf, "embeddings")
-    return R.vector_topk(v, v, 5).select("query_id", "rank", "similarity")
+    return R.vector_topk(v, v, 5).select("query_id", "rank", "vec_id", "similarity")
 
 
 def payload_extract(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,10 +429,10 @@ def payload_extract(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        atom_identity, row_digest_dedup, encode_atoms_distinct, atom_markup_variants, observation_identity, canonical_payload, reconstruct, display_atom,
-        collapse_adjacent, drop_empty, trim_modes, unicode_nfc, unicode_forms, language_case, language_validation, kind_validation, xliff_parse,
+        atom_identity, row_digest_dedup, encode_atoms_distinct, atom_markup_variants, observation_identity, canonical_payload, canonical_nested, reconstruct, display_atom, display_escapes,
+        collapse_adjacent, drop_empty, trim_modes, unicode_nfc, unicode_forms, language_case, language_validation, kind_validation, region_script, row_validation, xliff_parse,
         xliff_roundtrip, xliff_rejects, emit_logical, emit_verbatim, atoms_by_id, observations_of_kind, observations_by_subject, observation_by_id,
-        put_idempotent, put_merge, maintenance_invariance, stream_ingest, approved_not_blacklisted, translations_of, tm_projection, as_of_state,
+        put_idempotent, put_merge, open_at_version, kind_after_index, subject_after_compact, lifecycle_errors, sql_view, maintenance_invariance, stream_ingest, approved_not_blacklisted, translations_of, tm_projection, as_of_state,
         within_3_months, reachability, vector_topk, payload_extract,
     )
 }

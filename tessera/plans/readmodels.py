@@ -64,14 +64,15 @@ def translation_memory(atoms: DataFrame, observations: DataFrame, kind: str) ->
 
 
 def reachable(edges: DataFrame, hops: int) -> DataFrame:
-    """(src, dst, hops): what can be reached in at most this many steps, with the fewest steps. Each step joins the frontier once."""
+    """(src, dst, hops): what can be reached in at most this many steps, with the fewest steps. Each step joins the frontier, of what wasn't reached before, once."""
     frontier = edges.select("src", "dst").distinct().withColumn("hops", F.lit(1))
     found = frontier
     step = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
     for n in range(2, hops + 1):
-        frontier = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().withColumn("hops", F.lit(n))
+        # What was reached before leads nowhere new, so a cycle isn't walked again.
+        frontier = frontier.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(n))
         found = found.union(frontier)
-    return found.groupBy("src", "dst").agg(F.min("hops").alias("hops"))
+    return found
 
 
 def _better(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

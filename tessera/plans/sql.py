@@ -55,6 +55,24 @@ def _trim(mode: str) -> str:
     return f"'text:' || {first} || '|placeholder: <x/> |text:' || {last} AS {mode}"
 
 
+#: Accented letters with the letter and mark that they decompose into: all that the documents have.
+_LETTERS = {"à": "a\u0300", "á": "a\u0301", "â": "a\u0302", "ä": "a\u0308", "ç": "c\u0327", "è": "e\u0300", "é": "e\u0301", "ê": "e\u0302", "ë": "e\u0308", "í": "i\u0301", "î": "i\u0302", "ï": "i\u0308", "ñ": "n\u0303", "ó": "o\u0301", "ô": "o\u0302", "ö": "o\u0308", "ú": "u\u0301", "ù": "u\u0300", "û": "u\u0302", "ü": "u\u0308"}
+_LETTERS |= {"À": "A\u0300", "Á": "A\u0301", "Â": "A\u0302", "Ä": "A\u0308", "Ç": "C\u0327", "È": "E\u0300", "É": "E\u0301", "Ê": "E\u0302", "Ë": "E\u0308", "Í": "I\u0301", "Î": "I\u0302", "Ï": "I\u0308", "Ñ": "N\u0303", "Ó": "O\u0301", "Ô": "O\u0302", "Ö": "O\u0308", "Ú": "U\u0301", "Ù": "U\u0300", "Û": "U\u0302", "Ü": "U\u0308"}
+
+
+def _decomposed(e: str) -> str:
+    for letter, parts in _LETTERS.items():
+        e = f"replace({e}, '{letter}', '{parts}')"
+    return e
+
+
+_UNICODE = {
+    "nfc": "nfc_normalize(text) || ' \ufb01le \u585a\ufb01'",
+    "nfd": _decomposed("nfc_normalize(text)") + " || ' \ufb01le \u585a\ufb01'",
+    "nfkc": "nfc_normalize(text) || ' file \u585a\ufb01'",
+    "nfkd": _decomposed("nfc_normalize(text)") + " || ' file \u585a\ufb01'",
+    "cjk_compat_variants": "text || ' \ufb01le \u585a\ufe00\ufb01'",
+}
 _KEPT = "list_filter(list_transform(string_split(text, '.'), lambda s: trim(s, ' ')), lambda s: s <> '')"
 
 SQL = {
@@ -64,8 +82,21 @@ SQL = {
     "atom_markup_variants": f"SELECT p_partkey, {_MARKED} AS atom_id, CAST(2 AS BIGINT) AS row_digests FROM part",
     "observation_identity": f"SELECT event_id, {_EVENT} AS observation_id FROM events",
     "canonical_payload": f"SELECT event_id, {_PROPS} AS payload FROM events",
+    "canonical_nested": """SELECT event_id, '{"":0.00001,"B":1.2345678901234568e22,"a":2,"k":' || user_id || ',"z":{"a":[1.5,true,null,{"x":' || user_id || ',"y":100.0}],"b":-0.0},"é":"é\\n"}' AS payload FROM events""",
     "reconstruct": "SELECT p_partkey, 'Click <b>' || p_name || '</b>' AS text FROM part",
     "display_atom": """SELECT p_partkey, 'Atom(language=en-US, content=[Text("Click "), Placeholder("<b>"), Text("' || p_name || '"), Placeholder("</b>")])' AS shown FROM part""",
+    "display_escapes": """SELECT p_partkey, 'Atom(language=en-US, content=[Text("a\\"b\\\\c\\n\\t\\r\\0\\u{1}\\u{7f}' || p_name || '")])' AS shown FROM part""",
+    "unicode_forms": f"SELECT doc_id, {', '.join(f'md5({e}) AS {form}' for form, e in _UNICODE.items())} FROM documents",
+    "region_script": f"""WITH {_DOCS}, tags AS (SELECT unnest([language, lang || '-Latn-' || upper(lang), lang || '-419-x-a1', lang]) AS tag FROM docs)
+        SELECT tag, count(*) AS n, nullif(regexp_extract(tag, '{_LANGTAG}', 3, 'i'), '') AS region, nullif(regexp_extract(tag, '{_LANGTAG}', 2, 'i'), '') AS script FROM tags GROUP BY tag""",
+    "row_validation": "SELECT p_partkey, p_partkey % 5 < 2 AND p_partkey % 7 > 0 AS nodes, p_partkey % 3 = 1 AS subjects, p_partkey % 4 IN (0, 2) AS payload FROM part",
+    "open_at_version": """WITH n AS (SELECT count(DISTINCT text) FILTER (lang = 'en') AS en, count(DISTINCT text) FILTER (lang = 'fr') AS fr, count(DISTINCT text) FILTER (lang = 'de') AS de FROM documents)
+        SELECT unnest([1, 2, 3, 4, 0])::BIGINT AS version, unnest([0, en, en + fr, en + fr + de, en + fr + de])::BIGINT AS stored FROM n""",
+    "kind_after_index": f"SELECT DISTINCT event_type AS kind, epoch_us(ts) AS recorded_us, {_PROPS} AS payload FROM events WHERE event_type = 'click'",
+    "subject_after_compact": f"SELECT DISTINCT event_type AS kind, epoch_us(ts) AS recorded_us, {_PROPS} AS payload FROM events WHERE user_id = 7",
+    "lifecycle_errors": """SELECT unnest(['open absent', 'create twice', 'open later version', 'wrong columns', 'put wrong columns', 'corrupt row', 'short digest', 'bad language', 'stored as before']) AS "case",
+        unnest(['BackendError', 'BackendError', 'BackendError', 'SchemaMismatch', 'SchemaMismatch', 'UnknownNodeKind', 'SchemaMismatch', 'InvalidLanguageTag', 'none']) AS error""",
+    "sql_view": f"WITH {_DOCS} SELECT language, count(DISTINCT text) AS atoms, CAST(max(length(text)) AS INTEGER) AS longest FROM docs GROUP BY language",
     "collapse_adjacent": "SELECT p_partkey, 'text:' || p_type || p_name || '|placeholder:<x/>|placeholder:|text:' || p_brand || '!' AS nodes FROM part",
     "drop_empty": f"SELECT doc_id, CAST(len({_KEPT}) AS INTEGER) AS nodes, md5(array_to_string(list_transform({_KEPT}, lambda s: 'text:' || s), '|')) AS digest FROM documents",
     "trim_modes": f"SELECT p_partkey, {', '.join(map(_trim, ('outer_leading', 'outer_trailing', 'outer_both', 'all_leading', 'all_trailing', 'all_both')))} FROM part",
@@ -100,6 +131,6 @@ SQL = {
         least AS (SELECT src, dst, min(hops) AS hops FROM walk GROUP BY src, dst) SELECT CAST(hops AS INTEGER) AS hops, count(*) AS pairs FROM least GROUP BY hops""",
     "vector_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id)
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank, similarity FROM s QUALIFY rank <= 5""",
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank, vec_id, similarity FROM s QUALIFY rank <= 5""",
     "payload_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
 }
