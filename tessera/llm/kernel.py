@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_CHARS = 1 << 20
 _LIMIT = 0x32000
@@ -166,17 +167,16 @@ class Lookup:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts (null as empty), about `limit` characters each, at least one row."""
+    """Slices of the batches with their texts (null as empty), about `limit` bytes of text each, at least one row."""
     for batch in batches:
-        texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
-        begin, size = 0, 0
-        for i, t in enumerate(texts):
-            if i > begin and size + len(t) > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(size[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(size, before + limit, "right")))
+            part = batch.slice(begin, end - begin)
+            yield part, ["" if t is None else t for t in part.column(text).to_pylist()]
+            begin = end
 
 
 def signed(h: np.ndarray) -> np.ndarray:

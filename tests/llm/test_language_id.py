@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import language_id as L
@@ -18,24 +20,38 @@ def longest(data, reference):
     return n
 
 
-def test_phrases_against_search():
+def test_phrases_against_search(monkeypatch):
     r = random.Random(1)
-    for _ in range(60):
-        ref = bytes(r.choice(range(4)) for _ in range(r.randint(1, 40)))
-        data = bytes(r.choice(range(5)) for _ in range(r.randint(0, 60)))
-        assert L.phrases(data, L.automaton(ref, 6)) == longest(data, ref)
-
-
-def test_the_automaton_has_every_substring():
-    ref = bytes([1, 2, 1, 1, 2, 3, 1, 2])
-    root = L.automaton(ref, 5)
-    for i in range(len(ref)):
-        for j in range(i + 1, len(ref) + 1):
-            s = root
-            for c in ref[i:j]:
-                s = s[c]
-                assert s is not None
-    assert root[4] is None
+    for few in (1, 24, 10_000):  # all side by side, both ways, all singly
+        monkeypatch.setattr(L.Parser, "FEW", few)
+        for _ in range(12):
+            texts = {lang: bytes(r.choice((0, 2, 3, 4, 5)) for _ in range(r.randint(1, 60))) for lang in "abc"}
+            local = {lang: np.array([0, 1, *(r.choice((1, 2, 3, 4, 5)) for _ in range(8))], np.uint8) for lang in "abc"}
+            data = [np.array([r.randrange(10) for _ in range(r.choice([0, 1, 7, 40, 200]))], np.uint16) for _ in range(40)]
+            got = L.Parser(texts, local, 6).count(data)
+            assert got.tolist() == [[longest(local[lang][d].tobytes(), texts[lang]) for d in data] for lang in "abc"]
+    assert L.Parser({}, {}, 6).count([np.zeros(3, np.uint16)]).shape == (0, 1)
+
+
+def test_symbols():
+    a = L.Alphabet({"x": Counter({97: 5, 98: 1}), "y": Counter({0x4E00 + i: 1000 - i for i in range(300)})})
+    first, second, third = a.symbols(["", "  Ab, 12 c! ", "\u4e00\u4e01\u4e00"])
+    assert len(first) == 0 and a.local["x"][second].tolist() == [2, 3, 0, 1, 0] and a.local["y"][second].tolist() == [1, 1, 0, 1, 0]
+    assert a.local["y"][third].tolist() == [2, 3, 2] and a.local["x"][third].tolist() == [1, 1, 1]
+    # Letters beyond those with symbols of their own share some, but none of the others'.
+    shared = a.local["y"][a.symbols(["".join(chr(0x4E00 + i) for i in range(300))])[0]]
+    assert len(set(shared[: L.LETTERS].tolist())) == L.LETTERS and set(shared[L.LETTERS :].tolist()) <= set(range(2 + L.LETTERS, 2 + L.LETTERS + L.SHARED))
+
+
+def test_languages_without_spaces_are_told_apart():
+    r = random.Random(9)
+    zh = [chr(0x4E00 + int(r.paretovariate(0.8)) % 2500) for _ in range(400)]
+    ja = [chr(0x3042 + r.randrange(80)) for _ in range(60)] + zh[:200]
+    make = lambda pool, n: "".join(r.choice(pool) for _ in range(n))
+    words = {"zh": [make(zh, 2) for _ in range(200)], "ja": [make(ja, 3) for _ in range(200)], "en": ["the", "and", "ing", "river", "stone"]}
+    m = L.train({lang: ["".join(r.choice(own) for _ in range(6000))] for lang, own in words.items()})
+    texts = [(lang, "".join(r.choice(own) for _ in range(60))) for lang, own in words.items() for _ in range(30)]
+    assert sum(f[0] == lang for f, (lang, _) in zip(L.classify([t for _, t in texts], m), texts, strict=True)) >= 0.95 * len(texts)
 
 
 def model():
@@ -88,5 +104,8 @@ def test_awkward_rows(spark):
     assert [found[i]["keep"] for i in (1, 2, 3, 4, 11)] == [False] * 5
     assert found[8]["keep"] and found[9]["language"] == "en"
     assert L.identify(df.limit(0)).count() == 0
-    assert not any(r["keep"] for r in L.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect())
+    for unlabelled in (df.withColumn("lang", F.lit(None).cast("string")), df.drop("lang")):
+        assert all(r["keep"] and r["language"] is None for r in L.identify(unlabelled).collect())
+        assert L.stage(spark, unlabelled, "").columns == unlabelled.columns and L.stage(spark, unlabelled, "").count() == df.count()
     assert L.stage(spark, df, "").columns == df.columns
+    assert L.stage(spark, df.limit(0), "").count() == 0
