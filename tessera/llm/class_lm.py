@@ -1,10 +1,11 @@
 """LM scoring with Brown class-based bigrams.
 
-The corpus is counted in full: words first, then bigrams of the most frequent words, whose classes are found by
-exchange clustering (each word in turn moves to the class that raises the likelihood of the class bigram model most).
-Every other word of the vocabulary then makes the same move once, in parallel, from the counts of its neighbours'
-classes. With classes fixed, class bigrams are counted over the whole corpus, and a document's perplexity follows from
-smoothed class transitions and word emissions.
+The corpus is counted in full: words, then every bigram of words of the vocabulary. Exchange clustering of the most
+frequent words (each in turn moves to the class that raises the likelihood of the class bigram model most) seeds the
+classes. All other words then join, and all words go on to move, in sweeps over the table of bigrams: half of the words
+at a time, each to the class that fits the classes of all its neighbours best, until hardly any moves. With classes
+fixed, class bigrams are counted over the whole corpus, and a document's perplexity follows from smoothed class
+transitions and word emissions.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .shared import documents, written
 
-#: Words clustered by full exchange, classes, sweeps; times that a word of the vocabulary is seen at least, and words
-#: that the vocabulary may hold (the least count is raised until it fits). Words below share the unknown class.
+#: Words that seed the classes, classes, sweeps over these; times that a word of the vocabulary is seen at least, and
+#: words that the vocabulary may hold (the least count is raised until it fits). Words below share the unknown class.
 HEAD, CLASSES, SWEEPS, MIN_COUNT, MAX_VOCAB, DISCOUNT = 1000, 48, 4, 5, 4_000_000, 0.75
+#: Sweeps over all words at most, and the share of words of a sweep that has to move for another one.
+ALL_SWEEPS, STILL = 6, 0.01
 FLUSH = 1 << 20
 SCHEMA = "doc_id long, n_tokens long, n_unknown long, log_prob double, perplexity double"
 
@@ -44,8 +48,9 @@ def _counted(batches: Iterator[pa.RecordBatch], keys: Callable[[K.Words], np.nda
         yield _merge(held_k, held_n)
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if len(keys) == 1:
+def _merge(keys: list[np.ndarray], counts: list[np.ndarray], repeated: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their counts; a single list is distinct already unless said otherwise."""
+    if len(keys) == 1 and not repeated:
         return keys[0], counts[0]
     k, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k)
@@ -116,13 +121,16 @@ def exchange(n: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
 
 
 class Model:
-    """Vocabulary (looked up by hash) with classes and log emissions, and log transitions; class CLASSES is unknown, CLASSES + 1 a text's start."""
+    """Classes and log emissions of the words of the vocabulary, and log transitions; class CLASSES is unknown, CLASSES + 1 a text's start."""
 
     def __init__(self, lookup: K.Lookup | None, cls: np.ndarray) -> None:
         self.lookup, self.cls = lookup, cls
         self.emission: np.ndarray = np.zeros(0)
         self.transition: np.ndarray = np.zeros((0, 0))
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lookup": None}  # broadcast once, by itself
+
     def ids(self, w: K.Words) -> np.ndarray:
         return self.lookup(w.h) if self.lookup is not None else np.full(len(w.h), -1)
 
@@ -157,7 +165,105 @@ def smoothed(n: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(p, 1e-300))
 
 
-def fit(docs: DataFrame) -> Model:
+def bigrams(texts: DataFrame, lookup: Broadcast) -> DataFrame:
+    """(a, b, n): how often word b of the vocabulary follows word a, over the whole corpus; at most one row a pair of words."""
+
+    def keys(w: K.Words) -> np.ndarray:
+        ids, at = lookup.value(w.h), _pairs(w)
+        a, b = ids[at - 1], ids[at]
+        both = (a >= 0) & (b >= 0)
+        return (a[both] << 32) | b[both]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, n in _counted(batches, keys):
+            yield K.batch_of(a=(k >> 32).astype(np.int32), b=(k & 0xFFFFFFFF).astype(np.int32), n=n)
+
+    return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def contexts(pairs: DataFrame, cls: np.ndarray) -> DataFrame:
+    """(word, context, n): how often a word has a neighbour of each class, the class itself before it and CLASSES more after it.
+
+    Rows of word -1 have how often class context // CLASSES comes before class context % CLASSES. Words of class -1 are
+    no neighbours yet.
+    """
+    shared, wide = pairs.sparkSession.sparkContext.broadcast(cls), 2 * CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, held_k, held_n, size = shared.value, [], [], 0
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            before, after = cls[a].astype(np.int64), cls[b].astype(np.int64)
+            k = np.concatenate([(b.astype(np.int64) * wide + before)[before >= 0], (a.astype(np.int64) * wide + CLASSES + after)[after >= 0]])
+            k, m = _merge([k], [np.concatenate([n[before >= 0], n[after >= 0]])], len(k) > 0)
+            held_k.append(k)
+            held_n.append(m)
+            size += len(k)
+            both = (before >= 0) & (after >= 0)
+            np.add.at(total, before[both] * CLASSES + after[both], n[both])
+            if size > 2 * FLUSH:
+                k, m = _merge(held_k, held_n)
+                held_k, held_n, size = [k], [m], len(k)
+                if size > FLUSH:
+                    yield K.batch_of(word=(k // wide).astype(np.int32), context=(k % wide).astype(np.int32), n=m)
+                    held_k, held_n, size = [], [], 0
+        if size:
+            k, m = _merge(held_k, held_n)
+            yield K.batch_of(word=(k // wide).astype(np.int32), context=(k % wide).astype(np.int32), n=m)
+        at = np.flatnonzero(total)
+        yield K.batch_of(word=np.full(len(at), -1, np.int32), context=at.astype(np.int32), n=total[at])
+
+    return pairs.mapInArrow(run, "word int, context int, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
+
+
+def best_classes(around: DataFrame, gain: np.ndarray) -> pa.Table:
+    """(word, cls): of every word in `around` the class that fits its neighbours best. gain: by context (rows) and class."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("around")
+            flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            m = np.zeros((len(size), 2 * CLASSES))
+            m[np.repeat(np.arange(len(size)), size), flat.field("context").to_numpy()] = flat.field("n").to_numpy()
+            yield K.batch_of(word=b.column("word"), cls=np.argmax(np.round(m @ gain, 6), 1).astype(np.int16))
+
+    lists = around.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("around"))  # at most 2 * CLASSES a word
+    return lists.mapInArrow(choose, "word int, cls short").toArrow()  # at most MAX_VOCAB rows of six bytes
+
+
+def settled(pairs: DataFrame, cls: np.ndarray) -> np.ndarray:
+    """Classes of all words, from those of the head (-1 for the others), by sweeps over all bigrams.
+
+    The first sweep gives every other word its class; each one after that moves either the words of even or those of odd
+    number, so that neighbours don't change places for ever. A word whose neighbours are all unknown stays in class 0.
+    """
+    cls = cls.astype(np.int16)
+    begun = cls >= 0
+    for sweep in range(ALL_SWEEPS):
+        around = written(contexts(pairs, cls), "lm-contexts")
+        big = np.full(CLASSES * CLASSES, 0.5)
+        for r in around.where("word = -1").collect():  # at most CLASSES ** 2 rows
+            big[r["context"]] += r["n"]
+        big = big.reshape(CLASSES, CLASSES)
+        gain = np.log(big / (big.sum(0) * big.sum(1)[:, None]))
+        gain = np.vstack([gain, gain.T])  # rows: contexts left and right; columns: the class that the word would join
+        found = best_classes(around.where("word >= 0"), gain)
+        words, new = found.column("word").to_numpy(), found.column("cls").to_numpy()
+        own = ~begun[words] if sweep == 0 else words % 2 == sweep % 2
+        words, new = words[own], new[own]
+        moved = int((cls[words] != new).sum())
+        cls = cls.copy()
+        cls[words] = new
+        if sweep == 0:
+            cls[cls < 0] = 0
+        elif moved <= STILL * max(1, len(words)):
+            break
+    return cls
+
+
+def fit(docs: DataFrame) -> tuple[Model, Broadcast]:
+    """The model without its lookup, and the lookup, which is broadcast once and used by every pass."""
     spark = docs.sparkSession
     texts = docs.select("text")
     counts = written(word_counts(docs), "lm-words")
@@ -176,37 +282,25 @@ def fit(docs: DataFrame) -> Model:
     order = np.lexsort((h, -n))
     h, n = h[order].view(np.uint64), n[order]
     head = min(HEAD, len(h))
-    lookup = K.Lookup(h) if len(h) else None
-    vocabulary = spark.sparkContext.broadcast(Model(lookup, np.zeros(len(h), np.int64)))
-
-    def head_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(head * head, np.int64)
-        for _, own in K.chunks(batches):
-            w = K.Words(own)
-            ids, at = vocabulary.value.ids(w), _pairs(w)
-            a, b = ids[at - 1], ids[at]
-            both = (a >= 0) & (a < head) & (b >= 0) & (b < head)
-            total += np.bincount(a[both] * head + b[both], minlength=head * head)
-        at = np.flatnonzero(total)
-        yield K.batch_of(k=at, n=total[at])
-
-    bigrams = texts.mapInArrow(head_bigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most HEAD * HEAD rows
-    dense = np.zeros(head * head)
-    dense[bigrams.column("k").to_numpy()] = bigrams.column("n").to_numpy()
-    cls = np.zeros(len(h), np.int64)
+    lookup = spark.sparkContext.broadcast(K.Lookup(h) if len(h) else None)
+    cls = np.zeros(len(h), np.int16)
     if head:
-        cls[:head] = exchange(dense.reshape(head, head), CLASSES)
-    if len(h) > head:
-        cls[head:] = 0
-        found = _tail(texts, Model(lookup, cls), head, dense.reshape(head, head))
-        cls[found.column("id").to_numpy()] = found.column("cls").to_numpy()
-    model = Model(lookup, cls)
+        pairs = written(bigrams(texts, lookup), "lm-bigrams")
+        seeds = pairs.where((F.col("a") < head) & (F.col("b") < head)).toArrow()  # at most HEAD * HEAD rows
+        dense = np.zeros((head, head))
+        dense[seeds.column("a").to_numpy(), seeds.column("b").to_numpy()] = seeds.column("n").to_numpy()
+        cls[head:] = -1
+        cls[:head] = exchange(dense, CLASSES)
+        cls = settled(pairs, cls)
+    model = Model(None, cls)
     shared = spark.sparkContext.broadcast(model)
 
     def class_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES + 2) ** 2, np.int64)
-        for _, own in K.chunks(batches):
-            _, c, before = shared.value.classes(K.Words(own))
+        own = shared.value
+        own.lookup = lookup.value
+        for _, part in K.chunks(batches):
+            _, c, before = own.classes(K.Words(part))
             total += np.bincount(before * (CLASSES + 2) + c, minlength=len(total))
         at = np.flatnonzero(total)
         yield K.batch_of(k=at, n=total[at])
@@ -217,42 +311,7 @@ def fit(docs: DataFrame) -> Model:
     model.transition = smoothed(table.reshape(CLASSES + 2, -1))
     mass = np.bincount(cls, n, CLASSES)
     model.emission = np.append(np.log(n / mass[cls]), -np.log(max(1, rare)))
-    return model
-
-
-def _tail(texts: DataFrame, model: Model, head: int, dense: np.ndarray) -> pa.Table:
-    """(id, cls) of the words beyond the head: one exchange each, from the classes of the head words around them."""
-    shared = texts.sparkSession.sparkContext.broadcast((model.lookup, model.cls[:head]))
-
-    def keys(w: K.Words) -> np.ndarray:
-        lookup, cls = shared.value
-        ids, at = lookup(w.h), _pairs(w)
-        a, b = ids[at - 1], ids[at]
-        right = (a >= head) & (b >= 0) & (b < head)
-        left = (b >= head) & (a >= 0) & (a < head)
-        return np.concatenate([b[left] * (2 * CLASSES) + cls[a[left]], a[right] * (2 * CLASSES) + CLASSES + cls[b[right]]])
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, n in _counted(batches, keys):
-            yield K.batch_of(id=(k // (2 * CLASSES)).astype(np.int32), context=(k % (2 * CLASSES)).astype(np.int16), n=n)
-
-    onehot = np.zeros((head, CLASSES))
-    onehot[np.arange(head), model.cls[:head]] = 1
-    big = onehot.T @ dense @ onehot + 0.5
-    gain = np.log(big / (big.sum(0) * big.sum(1)[:, None]))
-    gain = np.vstack([gain, gain.T])  # rows: contexts left and right; columns: the class that the word would join
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("around")
-            flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            m = np.zeros((len(size), 2 * CLASSES))
-            m[np.repeat(np.arange(len(size)), size), flat.field("context").to_numpy()] = flat.field("n").to_numpy()
-            yield K.batch_of(id=b.column("id"), cls=np.argmax(np.round(m @ gain, 6), 1).astype(np.int16))
-
-    around = texts.mapInArrow(contexts, "id int, context short, n long").groupBy("id", "context").agg(F.sum("n").alias("n"))
-    around = around.groupBy("id").agg(F.collect_list(F.struct("context", "n")).alias("around"))  # at most 2 * CLASSES a word
-    return around.mapInArrow(choose, "id int, cls short").toArrow()
+    return model, lookup
 
 
 def perplexity(docs: DataFrame) -> DataFrame:
@@ -260,13 +319,17 @@ def perplexity(docs: DataFrame) -> DataFrame:
 
     Counts are taken over every row, also those without an id. A null, empty or wordless text has no tokens, log_prob 0
     and a null perplexity. Repeated rows count, and are scored, as often as they stand there; an empty table gives no
-    rows; further columns are ignored.
+    rows; further columns are ignored. A text of any length is scored whole. Equally good classes are told apart by their
+    number, equally frequent words by their hash.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    model, lookup = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        own.lookup = lookup.value
         for batch, texts in K.chunks(batches):
-            n, unknown, lp = shared.value.score(texts)
+            n, unknown, lp = own.score(texts)
             ppl = np.exp(-lp / np.maximum(n, 1))
             yield K.batch_of(doc_id=batch.column("doc_id"), n_tokens=n, n_unknown=unknown, log_prob=np.round(lp, 6), perplexity=pa.array(np.round(ppl, 6), mask=n == 0))
 

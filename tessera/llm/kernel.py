@@ -147,7 +147,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray) -> None:
         self.order = np.argsort(keys, kind="stable")
         self.sorted = keys[self.order]
-        bits = max(10, min(26, int(len(keys)).bit_length() + 3))
+        bits = max(10, min(24, int(len(keys)).bit_length() + 3))
         self.shift = _U(64 - bits)
         slot = (keys >> self.shift).astype(np.int64)
         self.slot = np.full(1 << bits, -1, np.int32)

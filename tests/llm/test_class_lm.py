@@ -54,14 +54,14 @@ def test_scores_against_brute_force(spark):
     r = random.Random(5)
     texts = [text(r, r.choice([1, 5, 40, 200])) for _ in range(120)]
     df = frame(spark, [*enumerate(texts), (500, None), (501, "..."), (None, texts[0])])
-    model = M.fit(df)
+    model, lookup = M.fit(df)
     rows = {x["doc_id"]: x for x in M.perplexity(df).collect()}
     assert len(rows) == 122
     words = [t.lower().replace(".", "").split() for t in [*texts, texts[0]]]
     count = Counter(w for own in words for w in own)
     vocab = {w for w in count if count[w] >= M.MIN_COUNT}
     rare = sum(count[w] < M.MIN_COUNT for w in count)
-    cls = {w: int(model.cls[model.lookup(np.array([K.hash64(w)], np.uint64))[0]]) for w in vocab}
+    cls = {w: int(model.cls[lookup.value(np.array([K.hash64(w)], np.uint64))[0]]) for w in vocab}
     c_of = lambda w: cls.get(w, M.CLASSES)
     mass = Counter()
     for w in vocab:
@@ -101,14 +101,34 @@ def test_words_beyond_the_head_join_by_their_neighbours(spark, monkeypatch):
         own[r.randrange(0, 20, 2)] = "lefty"
         own[r.randrange(1, 20, 2)] = "righty"
         rows.append((i, " ".join(own)))
-    model = M.fit(frame(spark, rows))
-    c = lambda w: model.cls[model.lookup(np.array([K.hash64(w)], np.uint64))[0]]
+    model, lookup = M.fit(frame(spark, rows))
+    c = lambda w: model.cls[lookup.value(np.array([K.hash64(w)], np.uint64))[0]]
     assert len(model.cls) == 8
     table = model.transition
     # A word of the tail must be as likely after and before the other side as the class that it joined.
     assert np.isfinite(table).all() and c("lefty") != c("righty")
 
 
+def test_sweeps_over_all_words(spark, monkeypatch):
+    monkeypatch.setattr(M, "CLASSES", 4)
+    rng = np.random.default_rng(4)
+    kind = rng.integers(0, 4, 60)
+    n = rng.poisson(np.where((kind[:, None] + 1) % 4 == kind[None, :], 9.0, 0.3))
+    pairs = spark.createDataFrame([(int(a), int(b), int(n[a, b])) for a, b in np.argwhere(n)], "a int, b int, n long")
+    start = np.concatenate([M.exchange(n[:12, :12], 4), np.full(48, -1)])
+    around = {(x["word"], x["context"]): x["n"] for x in M.contexts(pairs, start.astype(np.int16)).collect()}
+    for w in range(60):
+        for c in range(4):
+            assert around.get((w, c), 0) == n[:, w][start == c].sum() and around.get((w, 4 + c), 0) == n[w][start == c].sum()
+    assert {k: v for (w, k), v in around.items() if w == -1} == {a * 4 + b: n[np.ix_(start == a, start == b)].sum() for a in range(4) for b in range(4) if n[np.ix_(start == a, start == b)].sum()}
+    found = M.settled(pairs, start)
+    first = found.copy()
+    first[12:] = 0
+    assert likelihood(n, found) > likelihood(n, first)
+    pure = sum(np.bincount(kind[found == c]).max() for c in range(4) if (found == c).any())
+    assert pure >= 57
+
+
 def test_unlikely_order_costs_more(spark):
     r = random.Random(6)
     rows = [(i, " ".join(w for _ in range(30) for w in (r.choice(["the", "a"]), r.choice(["cat", "dog"]), r.choice(["runs", "sits"])))) for i in range(200)]
