@@ -1,15 +1,20 @@
 """PII: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans.
 
 The labelled spans come from a seeded generator that sets e-mail addresses, phone numbers, IP addresses, card numbers,
-social security numbers and secret keys, with their bounds, into invented text among numbers that are none of these.
-Every kind of span has a digit or an at sign in it, so a document is decoded around each of these characters and
-nowhere else: a region reaches MARGIN characters beyond each, and no span can lie outside the regions. Regions are cut
-into overlapping windows; each window is run through the network, the emissions of overlapping windows are averaged
-with weights that fall off towards a window's ends, and one Viterbi pass over the whole region reconciles them.
+social security numbers, secrets, names and postal addresses, with their bounds, into invented text among words and
+numbers that are none of these.
+
+Every character of every document is read by the network. A text is cut into overlapping windows; many windows of many
+documents step side by side, and a character's emissions come from the window in which it stands furthest from an end.
+One Viterbi path over the whole document reconciles the windows. As almost all of a path is outside of any span, the
+path is first bounded: a run of characters can be a span only if the most that its emissions and transitions can add
+over staying outside isn't below zero. The bound needs one number a character, and the path is then decoded in the
+stretches where it leaves anything open; elsewhere it is proven to be outside.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import string
 from collections.abc import Iterator
@@ -20,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kernel as K
-from .shared import documents
+from .shared import documents, shared_dir
 
-KINDS = ("email", "phone", "ip", "card", "ssn", "secret")
+KINDS = ("email", "phone", "ip", "card", "ssn", "secret", "name", "address")
 LABELS = 1 + 2 * len(KINDS)  # 0 outside, then begin and inside of each kind
-HIDDEN, WINDOW, STRIDE, MARGIN = 24, 96, 48, 48
-TRAIN_STEPS, TRAIN_WINDOW, BATCH, SEED = 1200, 64, 48, 11
+#: Size of a state and of a character's vector; characters of a window and those that it shares with the next; windows side by side.
+HIDDEN, EMBED, WINDOW, OVERLAP, TOGETHER = 16, 8, 512, 48, 512
+POOL, TRAIN_STEPS, TRAIN_WINDOW, BATCH, SEED, SLOPE, RATE = 2_000_000, 1800, 96, 112, 11, 0.25, 0.07
 SCHEMA = "doc_id long, n_spans int, spans array<struct<start:int,end:int,kind:string>>, text string"
 
 _SYMBOLS = " \n\t" + string.ascii_letters + "0" + string.punctuation
-_CODE = {c: i + 3 for i, c in enumerate(_SYMBOLS)}  # 0 pad, 1 other letter, 2 anything else
+_CODE = {c: i + 3 for i, c in enumerate(_SYMBOLS)}  # 0 other capital, 1 other letter, 2 anything else
 N_CODES = len(_CODE) + 3
 
 
@@ -37,6 +43,7 @@ N_CODES = len(_CODE) + 3
 def _code_table() -> np.ndarray:
     table = np.full(len(K.lower_table()), 2, np.uint8)
     table[K.lower_table() != 0] = 1
+    table[K.upper_table()] = 0
     for c, i in _CODE.items():
         table[ord(c)] = i
     table[48:58] = _CODE["0"]
@@ -45,19 +52,40 @@ def _code_table() -> np.ndarray:
 
 # --- labelled spans -------------------------------------------------------------------------------------------------
 
-_SYL = "an er in on the st re nd at en ed or es is it le de la que ción ment eau ung ich ver sch keit ou ai ñas é ö ü ll rr th wh sh".split()
+_SYL = "an er in on the st re nd at en ed or es is it le de la que ción ment eau eux ung ich ver sch keit ou ai ñas é ö ü ll rr th wh sh".split()
+_ONSET = "b c d f g h j k l m n p q r s t v w x y z b c d f g h l m n p r s t br ch cl cr dr fl fr gh gl gr kn ph pl pr qu sc sch sh sl sm sp st str th tr tz wh ñ ç pf zw".split() + [""] * 12
+_VOWEL = "a e i o u a e i o u a e i o y ai au ea ee ei ie io oa oo ou ue é è ê à á í ó ú ü ö ä".split()
+_CODA = "ck d ft g k l ll m mp n nd ng nt p r rd rs rt s sh ss st t th x z ß ch lt".split() + [""] * 20
+_COMMON = "the and of to in a is that it for was with as on be at by this from or have not are but und der die das ist nicht mit ein eine von zu auf für de la le les et des en un une que qui dans pour pas el los las y del por con para no se lo su".split()
+
+
+_GIVEN = "James Mary John Anna Robert Linda Michael Laura David Sarah Maria José Carlos Lucía Miguel Elena Jean Marie Pierre Claire Hans Greta Karl Ingrid Peter Eva Ahmed Fatima Wei Yuki Raj Priya Olga Ivan Tom Ann".split()
+_FAMILY = "Smith Jones Brown Miller Davis García López Martínez Müller Schmidt Fischer Weber Dupont Moreau Laurent Rossi Novak Kowalski Nguyen Chen Tanaka Singh Patel Haddad Olsen Jansen O'Neill Baker Young Hall".split()
+_STREET = "Street St. Avenue Ave. Road Rd. Lane Drive Boulevard Court".split()
 
 
 def _word(r: random.Random) -> str:
-    return "".join(r.choice(_SYL) for _ in range(r.randint(1, 4)))
+    k = r.random()
+    if k < 0.35:
+        return "".join(r.choice(_SYL) for _ in range(r.randint(1, 4)))
+    return "".join(r.choice(_ONSET) + r.choice(_VOWEL) + r.choice(_CODA) for _ in range(r.choice([1, 1, 2, 2, 2, 3, 3, 4])))
+
+
+def _person(r: random.Random) -> str:
+    given = r.choice(_GIVEN) if r.random() < 0.7 else _word(r).capitalize()
+    family = r.choice(_FAMILY) if r.random() < 0.6 else _word(r).capitalize()
+    return r.choice([f"{given} {family}", f"{given} {family}", f"{given} {family}", f"{given[0]}. {family}", family])
 
 
-def _filler(r: random.Random) -> str:
+def _filler(r: random.Random, words: float) -> str:
     """A word or something with digits or an at sign that is no personal data."""
-    k = r.random()
-    if k < 0.72:
-        w = _word(r)
-        w = w.capitalize() if r.random() < 0.12 else w
+    if r.random() < words:
+        w = r.choice(_COMMON) if r.random() < 0.15 else _word(r)
+        if r.random() < 0.04:
+            w += _word(r) + _word(r)
+        w = w.capitalize() if r.random() < 0.08 else w
+        if r.random() < 0.02:
+            return " ".join([w] * r.choice([2, 3, 5, 30]))
         return w + r.choice(["", "", "", "", "", ",", ".", ".", ";", ":", "?", "!"])
     d = lambda n: "".join(r.choice(string.digits) for _ in range(n))
     month = r.randint(1, 12)
@@ -76,7 +104,7 @@ def _filler(r: random.Random) -> str:
             lambda: f"${r.randint(1, 999)},{d(3)}.{d(2)}",
             lambda: f"{r.randint(1, 100)}%",
             lambda: f"CC BY-NC {r.randint(1, 4)}.0.",
-            lambda: f"License, version {r.randint(1, 9)}.0",
+            lambda: f"{r.choice(['Apache License', 'General Public License', 'Mozilla Public License', 'the License'])}, {r.choice(['version', 'Version'])} {r.randint(1, 9)}{r.choice(['', '.0', '.1'])}.",
             lambda: f"page {r.randint(1, 400)}",
             lambda: f"{r.choice(['see', 'See', 'version', 'of', 'in', 'section', 'no.', 'page'])} {r.randint(1, r.choice([9, 99, 2099]))}{r.choice(['', '.', ','])}",
             lambda: f"version {r.randint(1, 9)} of {r.randint(1990, 2030)}, page {r.randint(1, 400)}",
@@ -110,10 +138,17 @@ def _datum(r: random.Random) -> tuple[str, str, str, str]:
         return "", sep.join(d(4) for _ in range(4)) if r.random() < 0.9 else f"3{d(3)}{sep}{d(6)}{sep}{d(5)}", "", kind
     if kind == "ssn":
         return "", f"{d(3)}-{d(2)}-{d(4)}", "", kind
-    value = r.choice([lambda: pick(40, "0123456789abcdef"), lambda: pick(40, "0123456789abcdef"), lambda: pick(32, "0123456789abcdef"), lambda: "sk-" + pick(r.randint(20, 40), string.ascii_letters + string.digits), lambda: "AKIA" + pick(16, string.ascii_uppercase + string.digits), lambda: "ghp_" + pick(36, string.ascii_letters + string.digits), lambda: pick(r.randint(20, 40), string.ascii_letters + string.digits)])()
-    value = value if any(c.isdigit() for c in value) else value + "7"
+    if kind == "name":
+        before, after = r.choice([(f"{t} ", "") for t in ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Herr", "Frau", "Madame", "Monsieur", "Señora")] + [("name: ", ""), ("Name: ", ""), ("my name is ", ""), ("Dear ", ","), ("Contact: ", "")])
+        return before, _person(r), after, kind
+    if kind == "address":
+        n, w = r.randint(1, 9999), _word(r).capitalize()
+        own = r.choice([f"{n} {w} {r.choice(_STREET)}", f"{n} {w} {r.choice(_STREET)}", f"{n % 300} rue {w}", f"{w}straße {n % 300}", f"Calle {w} {n % 300}"])
+        return "", own + r.choice(["", "", f", {d(5)} {_word(r).capitalize()}"]), "", kind
+    value = r.choice([lambda: pick(40, "0123456789abcdef"), lambda: pick(40, "0123456789abcdef"), lambda: pick(32, "0123456789abcdef"), lambda: "sk-" + pick(r.randint(20, 40), string.ascii_letters + string.digits), lambda: "AKIA" + pick(16, string.ascii_uppercase + string.digits), lambda: "ghp_" + pick(36, string.ascii_letters + string.digits), lambda: pick(r.randint(20, 40), string.ascii_letters + string.digits), lambda: pick(r.randint(20, 40), string.ascii_letters), lambda: pick(r.randint(20, 40), string.ascii_lowercase)])()
     name = r.choice(["token", "token", "api_key", "secret", "password", "key", "API_KEY", "access_token", "auth"])
-    before, after = r.choice([(f'{name} = "', '"'), (f'{name} = "', '"'), (f"{name}: ", ""), (f"{name}='", "'"), (f"{name}=", ""), ("", "")])
+    cues = [(f'{name} = "', '"'), (f'{name} = "', '"'), (f"{name}: ", ""), (f"{name}='", "'"), (f"{name}=", "")]
+    before, after = r.choice(cues if value.isalpha() else [*cues, ("", "")])  # letters alone are a secret only where something says so
     return before, value, after, kind
 
 
@@ -121,18 +156,24 @@ def labelled(r: random.Random, length: int) -> tuple[str, list[tuple[int, int, s
     """Invented text of about this length and the spans of personal data in it."""
     out, spans, size = [], [], 0
     junk = r.choice(["", "", "", "", "sym", "!!", "|"])
-    again = False  # data stand next to each other more often than by chance
-    often = r.choice([0.13, 0.13, 0.03, 0.0])
+    again = low = False  # data stand next to each other more often than by chance; no capital follows a name or address at once
+    often, words = r.choice([0.13, 0.13, 0.03, 0.0]), r.choice([0.72, 0.9, 0.98])
+    begins = True
     while size < length:
         if again or r.random() < often:
             again = r.random() < 0.35
             before, value, after, kind = _datum(r)
             spans.append((size + len(before), size + len(before) + len(value), kind))
-            piece = before + value + after
+            piece, low = before + value + after, kind in ("name", "address")
             if r.random() < 0.25:
                 piece += r.choice([".", ",", ";", ")", "?"])
         else:
-            piece = _filler(r)
+            piece = _filler(r, words)
+            if low:
+                piece = piece[:1].lower() + piece[1:]
+            elif begins and r.random() < 0.9:
+                piece = piece[:1].upper() + piece[1:]
+            begins, low = piece[-1] in ".?!", False
         if junk == "sym":
             piece += r.choice(["###", "$$$", "%%%", "&&&", "***", ""])
         elif junk == "!!":
@@ -146,27 +187,28 @@ def labelled(r: random.Random, length: int) -> tuple[str, list[tuple[int, int, s
     return (text.upper() if junk == "!!" and len(text.upper()) == len(text) else text), spans
 
 
-def encode(texts: list[str]) -> np.ndarray:
-    """Codes of the texts, padded to the longest."""
-    out = np.zeros((len(texts), max(map(len, texts))), np.uint8)
-    cp, at = K.codes(texts)
-    c = _code_table()[cp]
-    for i in range(len(texts)):
-        out[i, : at[i + 1] - at[i] - 1] = c[at[i] : at[i + 1] - 1]
-    return out
 
 
-def training_batch(r: random.Random, n: int, length: int = TRAIN_WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Windows cut at random places of generated texts, and their labels."""
-    x, y = [], np.zeros((n, length), np.int64)
-    for i in range(n):
-        text, spans = labelled(r, length * 2)
-        at = r.randint(0, len(text) - length)
-        x.append(text[at : at + length])
+def corpus(r: random.Random, size: int = POOL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and labels of generated texts of various lengths, end to end, and the places of blanks outside of spans."""
+    texts, labels, total = [], [], 0
+    while total < size:
+        text, spans = labelled(r, r.randint(40, 800))
+        y = np.zeros(len(text), np.int64)
         for s, e, kind in spans:
-            for p in range(max(s, at), min(e, at + length)):
-                y[i, p - at] = 1 + 2 * KINDS.index(kind) + (p > s)
-    return encode(x), y
+            y[s], y[s + 1 : e] = 1 + 2 * KINDS.index(kind), 2 + 2 * KINDS.index(kind)
+        texts.append(text)
+        labels.append(y)
+        total += len(text)
+    codes, y = _code_table()[K.codes(["".join(texts)])[0][:-1]].astype(np.int64), np.concatenate(labels)
+    return codes, y, np.flatnonzero(((codes == _CODE[" "]) | (codes == _CODE["\n"])) & (y == 0))
+
+
+def training_batch(r: random.Random, n: int, pool: tuple[np.ndarray, np.ndarray, np.ndarray], length: int = TRAIN_WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of the generated texts that end at random blanks, and their labels. None ends within a span, as no document does."""
+    blanks = pool[2][np.searchsorted(pool[2], length) :]
+    at = np.array([blanks[r.randrange(len(blanks))] - length for _ in range(n)])[:, None] + np.arange(length)
+    return pool[0][at], pool[1][at]
 
 
 # --- the network ----------------------------------------------------------------------------------------------------
@@ -183,49 +225,93 @@ def allowed() -> np.ndarray:
 
 
 def initial(seed: int = SEED) -> dict[str, np.ndarray]:
+    """Gates are clipped to 0..1 (a hard sigmoid) and ordered in, forget, out, candidate; x / (1 + |x|) stands for the hyperbolic tangent. A state's inputs are the state before, the character's vector and a constant."""
     g = np.random.default_rng(seed)
-    h = HIDDEN
-    p = {"x": g.normal(0, 0.3, (2, N_CODES, 4 * h)), "h": g.normal(0, 1 / np.sqrt(h), (2, h, 4 * h)), "b": np.zeros((2, 1, 4 * h)), "e": g.normal(0, 0.2, (2 * h, LABELS)), "o": np.zeros(LABELS), "t": np.zeros((LABELS, LABELS))}
-    p["b"][:, :, h : 2 * h] = 1  # remember by default
+    h, e = HIDDEN, EMBED
+    p = {"emb": g.normal(0, 1, (e, N_CODES)), "w": g.normal(0, 1 / np.sqrt(h + e), (2, 4 * h, h + e + 1)), "e": g.normal(0, 0.2, (2, LABELS, h)), "o": np.zeros((LABELS, 1)), "t": np.zeros((LABELS, LABELS))}
+    p["w"][:, :, -1] = 0
+    p["w"][:, : 3 * h, -1] = 0.5 / SLOPE
+    p["w"][:, h : 2 * h, -1] = 0.8 / SLOPE  # remember by default
     return p
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+_clip = np.clip if not hasattr(np, "_core") else np._core.umath.clip  # without the checks of its wrapper, which cost more than the work
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-    """Emissions (texts, characters, labels). Direction 0 reads forwards, 1 backwards; both step through time together."""
-    n, t = x.shape
-    h = HIDDEN
-    both = np.stack([x, x[:, ::-1]])
-    dt = p["h"].dtype
-    hs, cs = np.zeros((t + 1, 2, n, h), dt), np.zeros((t + 1, 2, n, h), dt)
-    gates = np.empty((t, 2, n, 4 * h), dt) if keep else None
-    for k in range(t):
-        a = np.matmul(hs[k], p["h"])
-        a += p["b"]
-        a[0] += p["x"][0, both[0, :, k]]
-        a[1] += p["x"][1, both[1, :, k]]
-        a[..., : 3 * h] = _sigmoid(a[..., : 3 * h])
-        np.tanh(a[..., 3 * h :], out=a[..., 3 * h :])
-        cs[k + 1] = a[..., h : 2 * h] * cs[k] + a[..., :h] * a[..., 3 * h :]
-        hs[k + 1] = a[..., 2 * h : 3 * h] * np.tanh(cs[k + 1])
-        if keep:
-            gates[k] = a
-    out = np.concatenate([hs[1:, 0], hs[:0:-1, 1]], -1)  # time, texts, 2 * hidden
-    return (out @ p["e"] + p["o"]).transpose(1, 0, 2), (both, hs, cs, gates, out)
+def sloped(w: np.ndarray) -> np.ndarray:
+    """Weights with the slope of the gates' clipped line in them."""
+    return np.concatenate([w[:, : 3 * HIDDEN] * w.dtype.type(SLOPE), w[:, 3 * HIDDEN :]], 1)
+
+
+def _squashed(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
+class Steps:
+    """Both directions of the network over windows of a flat array of codes, stepping through time together.
+
+    Windows stand from long to short, so those that go on are always the first. Arrays have a row a feature and a column
+    a window. Direction 0 reads a window from its start, direction 1 from its end.
+    """
+
+    def __init__(self, p: dict[str, np.ndarray], codes: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False) -> None:
+        n, t, h, dt = len(start), int(size[0]), HIDDEN, p["w"].dtype
+        live = n - np.searchsorted(size[::-1], np.arange(t), "right")
+        self.size, self.longest = size, t
+        self.hs = np.empty((t, 2, h, n), dt)
+        z, a, c, v, d = np.zeros((2, h + EMBED + 1, n), dt), np.empty((2, 4 * h, n), dt), np.zeros((2, h, n), dt), np.empty((2, h, n), dt), np.empty((2, h, n), dt)
+        z[:, -1] = 1
+        none, one = dt.type(0), dt.type(1)
+        emb, w = p["emb"], sloped(p["w"])
+        first, last = start.copy(), start + size - 1
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for m in live.tolist():
+            if m < z.shape[2]:
+                z, a, c, v, d, first, last = (x[..., :m] for x in (z, a, c, v, d, first, last))
+            gates, u, hs = a[:, : 3 * h], a[:, 3 * h :], self.hs[len(self.hs) - t, :, :, :m]
+            emb.take(codes.take(first), 1, out=z[0, h:-1], mode="clip")
+            emb.take(codes.take(last), 1, out=z[1, h:-1], mode="clip")
+            np.matmul(w, z, out=a)
+            _clip(gates, none, one, out=gates)
+            np.abs(u, out=d)
+            d += one
+            u /= d
+            if keep:
+                self.kept.append((z.copy(), a.copy(), c.copy()))
+            c *= gates[:, h : 2 * h]
+            np.multiply(gates[:, :h], u, out=v)
+            c += v
+            np.abs(c, out=d)
+            d += one
+            np.divide(c, d, out=v)
+            np.multiply(gates[:, 2 * h :], v, out=hs)
+            z[:, :h] = hs
+            first += 1
+            last -= 1
+            t -= 1
+
+    def emissions(self, p: dict[str, np.ndarray], lo: int, hi: int) -> np.ndarray:
+        """(characters lo to hi of each window, labels, windows); what lies beyond a window's end has no meaning."""
+        at = self.size - 1 - np.arange(lo, hi)[:, None]
+        if self.size[-1] == self.size[0]:
+            back = self.hs[int(at[-1, 0]) : int(at[0, 0]) + 1, 1][::-1]
+        else:
+            back = self.hs[np.maximum(at, 0), 1, :, np.arange(len(self.size))].transpose(0, 2, 1)
+        out = np.matmul(p["e"][0], self.hs[lo:hi, 0])
+        out += np.matmul(p["e"][1], back)
+        out += p["o"]
+        return out
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log likelihood of the labels per character and its gradient, by forward-backward and back-propagation."""
     n, t = x.shape
     h = HIDDEN
-    em, (both, hs, cs, gates, out) = forward(p, x, keep=True)
+    net = Steps(p, x.ravel(), np.arange(n) * t, np.full(n, t), keep=True)
+    em_t = net.emissions(p, 0, t).transpose(0, 2, 1).astype(float)
     # Forward-backward on probabilities, scaled to one at every character, in double precision.
     trans = p["t"].astype(float) + allowed()
     m = np.exp(trans)
-    em_t = em.transpose(1, 0, 2).astype(float)
     top = em_t.max(-1, keepdims=True)
     e = np.exp(em_t - top)
     fw, bw, c = np.empty((t, n, LABELS)), np.ones((t, n, LABELS)), np.empty((t, n, 1))
@@ -242,31 +328,33 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
     d_em = fw * bw
     d_t = m * (fw[:-1].reshape(-1, LABELS).T @ (e[1:] * bw[1:] / c[1:]).reshape(-1, LABELS))
     d_em[np.arange(t)[:, None], rows, y.T] -= 1
-    d_em = (d_em * scale).astype(em.dtype)
+    dt = p["w"].dtype
+    d_em = np.ascontiguousarray((d_em * scale).astype(dt).transpose(0, 2, 1))  # time, labels, windows
     d_t -= np.bincount((y[:, :-1] * LABELS + y[:, 1:]).ravel(), minlength=LABELS * LABELS).reshape(LABELS, LABELS)
-    g = {"e": out.reshape(-1, 2 * h).T @ d_em.reshape(-1, LABELS), "o": d_em.sum((0, 1)), "t": (d_t * scale).astype(em.dtype), "x": np.zeros_like(p["x"]), "h": np.zeros_like(p["h"]), "b": np.zeros_like(p["b"])}
-    d_out = d_em @ p["e"].T
-    d_dir = np.stack([d_out[..., :h], d_out[::-1, :, h:]], 1)
-    dh, dc = np.zeros((2, n, h), em.dtype), np.zeros((2, n, h), em.dtype)
-    d_pre = np.empty_like(gates)
-    back = p["h"].transpose(0, 2, 1)
+    both = np.stack([d_em, d_em[::-1]], 1)  # in each direction's own order of time
+    g = {"o": d_em.sum((0, 2))[:, None], "t": (d_t * scale).astype(dt), "w": np.zeros_like(p["w"]), "emb": np.zeros_like(p["emb"])}
+    g["e"] = np.matmul(both, net.hs.transpose(0, 1, 3, 2)).sum(0)
+    d_dir = np.matmul(p["e"].transpose(0, 2, 1), both)
+    dh, dc, d_pre = np.zeros((2, h, n), dt), np.zeros((2, h, n), dt), np.empty((2, 4 * h, n), dt)
+    d_x = np.empty((t, 2, EMBED, n), dt)
+    back = sloped(p["w"]).transpose(0, 2, 1)
     for k in range(t - 1, -1, -1):
-        a = gates[k]
-        i, f, o, u = (a[..., j * h : (j + 1) * h] for j in range(4))
-        tc = np.tanh(cs[k + 1])
+        own, a, before = net.kept[k]
+        i, f, o, u = (a[:, j * h : (j + 1) * h] for j in range(4))
+        v = _squashed(before * f + i * u)
         dh = dh + d_dir[k]
-        dc = dc + dh * o * (1 - tc * tc)
-        d_pre[k] = np.concatenate([dc * u * i * (1 - i), dc * cs[k] * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - u * u)], -1)
-        dh = np.matmul(d_pre[k], back)
+        dc = dc + dh * o * (1 - np.abs(v)) ** 2
+        d_pre[:, :h], d_pre[:, h : 2 * h], d_pre[:, 2 * h : 3 * h] = dc * u, dc * before, dh * v
+        d_pre[:, : 3 * h] *= (a[:, : 3 * h] > 0) & (a[:, : 3 * h] < 1)
+        d_pre[:, 3 * h :] = dc * i * (1 - np.abs(u)) ** 2
+        g["w"] += np.matmul(d_pre, own.transpose(0, 2, 1))
+        d_z = np.matmul(back, d_pre)
+        dh, d_x[k] = d_z[:, :h], d_z[:, h:-1]
         dc = dc * f
-    for d in range(2):
-        flat = d_pre[:, d].reshape(-1, 4 * h)
-        g["h"][d] = hs[:-1, d].reshape(-1, h).T @ flat
-        g["b"][d, 0] = flat.sum(0)
-        by = both[d].T.ravel()
-        order = np.argsort(by, kind="stable")
-        new = np.flatnonzero(np.diff(by[order], prepend=-1))
-        g["x"][d, by[order[new]]] = np.add.reduceat(flat[order], new)
+    g["w"] = sloped(g["w"])
+    codes = np.stack([x.T, x[:, ::-1].T], 1).ravel()
+    for j in range(EMBED):
+        g["emb"][j] = np.bincount(codes, d_x[:, :, j].ravel(), N_CODES)
     return float((z - gold).mean() / t), g
 
 
@@ -275,11 +363,12 @@ def train(steps: int = TRAIN_STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Parameters after Adam on generated windows; the same for the same arguments, whatever the documents."""
     p = {k: v.astype(np.float32) for k, v in initial(seed).items()}
     r = random.Random(seed)
+    pool = corpus(r)
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     for step in range(1, steps + 1):
-        _, g = gradients(p, *training_batch(r, BATCH))
+        _, g = gradients(p, *training_batch(r, BATCH, pool))
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-        rate = 0.02 * min(1, step / 20) * (0.5 + 0.5 * np.cos(np.pi * step / (steps + 1)))
+        rate = RATE * min(1, step / 20) * (0.5 + 0.5 * np.cos(np.pi * step / (steps + 1)))
         for k, v in g.items():
             v = v * np.float32(min(1, 5 / norm))
             a, b = m[k]
@@ -289,22 +378,127 @@ def train(steps: int = TRAIN_STEPS, seed: int = SEED) -> dict[str, np.ndarray]:
     return p
 
 
+def weights(spark: SparkSession) -> dict[str, np.ndarray]:
+    """The trained parameters: read from the shared folder if a session trained them before with the same settings, else trained and put there."""
+    with open(__file__, "rb") as own:
+        made_by = hashlib.sha256(own.read()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/pii-weights-{made_by}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        rows = spark.read.parquet(path).collect()  # one row a parameter
+        return {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in rows}
+    p = train()
+    rows = [(k, list(v.shape), bytearray(v.tobytes())) for k, v in p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return p
+
+
 # --- decoding -------------------------------------------------------------------------------------------------------
 
 
-def regions(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the stretches that hold every digit and at sign with MARGIN characters around; none crosses a text's end."""
-    hit = np.flatnonzero((cp >= 48) & (cp <= 57) | (cp == 64))
-    if not len(hit):
-        return hit, hit
-    doc = np.searchsorted(at, hit, "right") - 1
-    new = np.flatnonzero(np.concatenate([[True], (hit[1:] - hit[:-1] > 2 * MARGIN) | (doc[1:] != doc[:-1])]))
-    last = np.append(new[1:], len(hit)) - 1
-    return np.maximum(hit[new] - MARGIN, at[doc[new]]), np.minimum(hit[last] + MARGIN + 1, at[doc[last] + 1] - 1)
+class Windows:
+    """Windows of a run of texts, from long to short: start and size in cp, and the characters [lo, hi) of each for which it speaks."""
+
+    def __init__(self, at: np.ndarray) -> None:
+        size = np.diff(at) - 1
+        step = WINDOW - OVERLAP
+        per = np.where(size > 0, np.maximum(0, -(-(size - WINDOW) // step)) + 1, 0)
+        doc = np.repeat(np.arange(len(size)), per)
+        offset = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * step
+        own = np.minimum(WINDOW, size[doc] - offset)
+        lo = np.where(offset > 0, OVERLAP // 2, 0)
+        hi = np.where(offset + own < size[doc], own - OVERLAP // 2, own)
+        order = np.argsort(-own, kind="stable")
+        self.start, self.size, self.lo, self.hi = (at[:-1][doc] + offset)[order], own[order], lo[order], hi[order]
+
+    def batches(self, chosen: np.ndarray) -> Iterator[np.ndarray]:
+        """Windows to step through together; those of full size stay among themselves."""
+        full = int(np.searchsorted(-self.size[chosen], -WINDOW, "right"))
+        for part in (chosen[:full], chosen[full:]):
+            for i in range(0, len(part), TOGETHER):
+                yield part[i : i + TOGETHER]
+
+
+class Decoder:
+    """The trained network with the transitions of the CRF, and the bounds that these put on any span."""
+
+    def __init__(self, p: dict[str, np.ndarray]) -> None:
+        self.p = p
+        self.trans = (p["t"] + allowed()).astype(np.float32)
+        rest = self.trans[0, 0]
+        self.enter = np.maximum(0, self.trans[:, 1:].max(0) - rest)[:, None]  # the most that coming to a label adds
+        self.leave = float(max(0, (self.trans[1:, 0] - rest).max()))
+
+    def gain(self, codes: np.ndarray, windows: Windows) -> np.ndarray:
+        """For every character the most that any label adds over outside; a large negative number between texts."""
+        out = np.full(len(codes), -1e4, np.float32)
+        p = self.p | {"e": self.p["e"][:, 1:] - self.p["e"][:, :1], "o": self.p["o"][1:] - self.p["o"][0] + self.enter}
+        for b in windows.batches(np.arange(len(windows.size))):
+            net = Steps(p, codes, windows.start[b], windows.size[b])
+            best = np.concatenate([net.emissions(p, k, min(k + 32, net.longest)).max(1) for k in range(0, net.longest, 32)]).T.copy()
+            for row, start, lo, hi in zip(best, windows.start[b].tolist(), windows.lo[b].tolist(), windows.hi[b].tolist(), strict=True):
+                out[start + lo : start + hi] = row[lo:hi]
+        return out
+
+    def open_stretches(self, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the stretches outside of which no character can be in a span: around each other one, every run loses against outside."""
+        total = np.concatenate([[0.0], np.cumsum(gain, dtype=float)])
+        before = np.minimum.accumulate(total[:-1])
+        after = np.maximum.accumulate(total[:0:-1])[::-1]
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (after - before + self.leave > -0.01).view(np.int8), [0]])))
+        return edge[::2], edge[1::2]
+
+    def emissions(self, codes: np.ndarray, windows: Windows, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Emissions of all characters of the stretches, end to end."""
+        base = np.concatenate([[0], np.cumsum(ends - starts)])
+        out = np.empty((base[-1], LABELS), np.float32)
+        at = np.full(len(codes), -1, np.int64)
+        at[np.repeat(starts - base[:-1], ends - starts) + np.arange(base[-1])] = np.arange(base[-1])
+        inside = np.concatenate([[0], np.cumsum(at >= 0)])
+        needed = np.flatnonzero(inside[windows.start + windows.hi] > inside[windows.start + windows.lo])
+        for b in windows.batches(needed):
+            start, size, lo, hi = windows.start[b], windows.size[b], windows.lo[b], windows.hi[b]
+            net = Steps(self.p, codes, start, size)
+            for k in range(0, net.longest, 32):
+                place = np.arange(k, min(k + 32, net.longest))[:, None]
+                own = (place >= lo) & (place < hi)
+                own &= at[np.minimum(start + place, len(codes) - 1)] >= 0
+                row, col = np.nonzero(own)
+                if len(row):
+                    out[at[start[col] + k + row]] = net.emissions(self.p, k, k + len(place))[row, :, col]
+        return out
+
+    def paths(self, em: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Labels of all characters of the stretches, end to end: Viterbi, with outside (or a text's end) on either side."""
+        size = ends - starts
+        base = np.concatenate([[0], np.cumsum(size)])
+        em = em.copy()
+        opens = np.isin(starts, at)
+        first = np.where(np.arange(LABELS) % 2, 0, -1e4).astype(np.float32)
+        first[0] = 0
+        em[base[:-1]] += np.where(opens[:, None], first, self.trans[0])
+        em[base[1:] - 1] += np.where(np.isin(ends + 1, at)[:, None], 0, self.trans[:, 0])
+        out = np.empty(base[-1], np.int64)
+        order = np.argsort(size, kind="stable")
+        lo = 0
+        while lo < len(order):  # stretches of like length together, as much padded room as about 200,000 characters take
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * size[order[hi]] <= 200_000:
+                hi += 1
+            own = order[lo:hi]
+            if len(own) == 1:
+                out[base[own[0]] : base[own[0] + 1]] = _viterbi_one(em[base[own[0]] : base[own[0] + 1]], self.trans)
+            else:
+                place = np.arange(int(size[own].max()))
+                path = _viterbi(em[np.minimum(base[own][:, None] + place, base[-1] - 1)], self.trans, size[own])
+                real = place < size[own][:, None]
+                out[(base[own][:, None] + place)[real]] = path[real]
+            lo = hi
+        return out
 
 
 def _viterbi(em: np.ndarray, trans: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Best labels of many regions at once; em is padded to the longest, and padding copies scores along."""
+    """Best labels of many stretches at once; em is padded to the longest, and padding copies scores along."""
     n, t, _ = em.shape
     score = em[:, 0].copy()
     back = np.empty((t, n, LABELS), np.int8)
@@ -323,70 +517,41 @@ def _viterbi(em: np.ndarray, trans: np.ndarray, size: np.ndarray) -> np.ndarray:
     return path
 
 
-def emissions(p: dict[str, np.ndarray], codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Emissions of all characters of the regions, end to end, averaged over the windows that hold them."""
-    size = ends - starts
-    base = np.concatenate([[0], np.cumsum(size)])
-    per = np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1)
-    region = np.repeat(np.arange(len(size)), per)
-    nth = np.arange(len(region)) - np.repeat(np.cumsum(per) - per, per)
-    offset = np.maximum(0, np.minimum(nth * STRIDE, size[region] - WINDOW))
-    total, weight = np.zeros((base[-1], LABELS), np.float32), np.zeros(base[-1], np.float32)
-    fall = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    for lo in range(0, len(region), 1024):
-        own, off = region[lo : lo + 1024], offset[lo : lo + 1024]
-        place = off[:, None] + np.arange(WINDOW)
-        real = place < size[own][:, None]
-        x = np.where(real, codes[np.minimum(starts[own][:, None] + place, len(codes) - 1)], 0)
-        em, _ = forward(p, x)
-        to = (base[own][:, None] + place)[real]
-        w = np.broadcast_to(fall, place.shape)[real]
-        np.add.at(weight, to, w)
-        np.add.at(total, to, em[real] * w[:, None])
-    return total / weight[:, None]
-
-
-def find(texts: list[str], p: dict[str, np.ndarray]) -> list[list[tuple[int, int, str]]]:
+def _viterbi_one(em: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The same for one stretch, however long, at a few operations a character."""
+    score, flat, own = em[0], np.ascontiguousarray(trans.T), np.arange(LABELS)
+    back = np.empty(em.shape, np.int8)
+    for k in range(1, len(em)):
+        s = flat + score
+        best = s.argmax(1)
+        back[k] = best
+        score = s[own, best] + em[k]
+    path = np.empty(len(em), np.int64)
+    path[-1] = score.argmax()
+    for k in range(len(em) - 1, 0, -1):
+        path[k - 1] = back[k, path[k]]
+    return path
+
+
+def find(texts: list[str], decoder: Decoder) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) of personal data in every text, in order."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     cp, at = K.codes(texts)
-    starts, ends = regions(cp, at)
+    codes, windows = _code_table()[cp].astype(np.int64), Windows(at)
+    starts, ends = decoder.open_stretches(decoder.gain(codes, windows))
     if not len(starts):
         return out
-    em = emissions(p, _code_table()[cp], starts, ends)
-    trans = (p["t"] + allowed()).astype(np.float32)
-    trans_start = np.where(np.arange(LABELS) % 2 == 0, -1e4, 0)
-    trans_start[0] = 0
-    size = ends - starts
-    base = np.concatenate([[0], np.cumsum(size)])
-    order = np.argsort(size, kind="stable")
-    lo = 0
-    while lo < len(order):  # regions of like length together, as much padded room as about 200,000 characters take
-        hi = lo + 1
-        while hi < len(order) and (hi + 1 - lo) * size[order[hi]] <= 200_000:
-            hi += 1
-        own = order[lo:hi]
-        t = int(size[own].max())
-        place = np.minimum(base[own][:, None] + np.arange(t), base[-1] - 1)
-        e = em[place]
-        e[:, 0] += trans_start
-        path = _viterbi(e, trans, size[own])
-        for row, r in zip(path, own, strict=True):
-            labels = row[: size[r]]
-            doc = int(np.searchsorted(at, starts[r], "right")) - 1
-            begin = np.flatnonzero(labels % 2 == 1)
-            for b in begin:
-                e_ = b + 1
-                while e_ < len(labels) and labels[e_] == labels[b] + 1:
-                    e_ += 1
-                c = cp[starts[r] + b : starts[r] + e_]
-                kind = KINDS[int(labels[b]) // 2]
-                # A region is there for its digits and at signs: a run of labels without one is no span.
-                if (c == 64).any() if kind == "email" else ((c >= 48) & (c <= 57)).any():
-                    s = int(starts[r] - at[doc] + b)
-                    out[doc].append((s, s + int(e_ - b), kind))
-        lo = hi
-    return [sorted(x) for x in out]
+    labels = np.zeros(len(codes), np.int64)
+    inside = np.repeat(ends - np.cumsum(ends - starts), ends - starts) + np.arange((ends - starts).sum())
+    labels[inside] = decoder.paths(decoder.emissions(codes, windows, starts, ends), starts, ends, at)
+    begin = np.flatnonzero(labels % 2 == 1)
+    doc = np.searchsorted(at, begin, "right") - 1
+    more = (labels > 0) & (labels % 2 == 0)
+    stop = np.flatnonzero(np.append(~more, True))
+    end = stop[np.searchsorted(stop, begin, "right")]
+    for d, b, e, k in zip(doc.tolist(), begin.tolist(), end.tolist(), labels[begin].tolist(), strict=True):
+        out[d].append((b - int(at[d]), e - int(at[d]), KINDS[k // 2]))
+    return out
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -400,14 +565,16 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 def detect(docs: DataFrame) -> DataFrame:
     """Documents with personal data: doc_id, n_spans, spans (character offsets and kind), text with each span replaced by its kind.
 
-    Documents without any have no row, nor have rows without an id and null or empty texts. Repeated rows give repeated
-    rows; an empty table gives none; further columns are ignored.
+    Documents without any have no row, nor have rows without an id and null or empty texts. A text of any length is read
+    whole, and its memory is a number a character. Of equally good labellings the one with the lower label first wins.
+    Repeated rows give repeated rows; an empty table gives none; further columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train())
+    shared = docs.sparkSession.sparkContext.broadcast(weights(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(shared.value)
         for batch, texts in K.chunks(batches):
-            found = find(texts, shared.value)
+            found = find(texts, decoder)
             rows = [i for i, s in enumerate(found) if s]
             spans = pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in found[i]] for i in rows], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])))
             yield K.batch_of(doc_id=batch.column("doc_id").take(pa.array(rows, pa.int64())), n_spans=pa.array([len(found[i]) for i in rows], pa.int32()), spans=spans, text=pa.array([redact(texts[i], found[i]) for i in rows], pa.string()))
@@ -420,13 +587,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, with personal data replaced by its kind and n_chars (where there is one) that of the new text."""
-    shared = spark.sparkContext.broadcast(train())
+    """Pipeline stage: every document stays, with personal data replaced by its kind and n_chars (where there is one) that of the new text.
+
+    Null and empty texts stay as they are, as do all other columns and rows without an id; repeated rows are treated
+    alike; an empty table gives none.
+    """
+    shared = spark.sparkContext.broadcast(weights(spark))
     fields = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(shared.value)
         for batch, texts in K.chunks(batches):
-            found = find(texts, shared.value)
+            found = find(texts, decoder)
             new = [redact(t, s) if s else t for t, s in zip(texts, found, strict=True)]
             at = batch.schema.get_field_index("text")
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
