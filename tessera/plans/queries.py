@@ -19,6 +19,7 @@ from ..functions import xliff as X
 from ..functions.canonical import canonical_json
 from ..model import BackendError
 from ..operators.stores import AtomStore, ObservationStore, encode_atoms, encode_observations
+from ..sources import tmx
 from ..streaming import sink
 from . import readmodels as R
 
@@ -212,6 +213,17 @@ def emit_verbatim(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf).select("doc_id", F.md5(X.emit_segment("content", "verbatim")).alias("digest"))
 
 
+def tmx_import(spark: SparkSession, sf: str) -> DataFrame:
+    """A translation memory written from the parts, read back as segments and parsed."""
+    lines = table(spark, sf, "part").select(
+        F.concat(F.lit('<tu tuid="'), F.col("p_partkey"), F.lit('">\n <tuv xml:lang="en-US"><seg>Click <ph x="1">{0}</ph> &amp; '), F.col("p_name"), F.lit('</seg></tuv>\n <tuv lang="de-DE" changeid=\'a\'><prop type="x">y</prop><seg>'), F.col("p_brand"), F.lit("\nneu</seg></tuv>\n</tu>")).alias("value")
+    )
+    path = _scratch(spark)
+    lines.write.text(path)
+    rows = tmx.read(spark, path)
+    return rows.select("tuid", "nth", "language", _shown(X.parse_segment("segment", "logical")).alias("nodes"))
+
+
 # stores
 
 
@@ -431,7 +443,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         atom_identity, row_digest_dedup, encode_atoms_distinct, atom_markup_variants, observation_identity, canonical_payload, canonical_nested, reconstruct, display_atom, display_escapes,
         collapse_adjacent, drop_empty, trim_modes, unicode_nfc, unicode_forms, language_case, language_validation, kind_validation, region_script, row_validation, xliff_parse,
-        xliff_roundtrip, xliff_rejects, emit_logical, emit_verbatim, atoms_by_id, observations_of_kind, observations_by_subject, observation_by_id,
+        xliff_roundtrip, xliff_rejects, emit_logical, emit_verbatim, tmx_import, atoms_by_id, observations_of_kind, observations_by_subject, observation_by_id,
         put_idempotent, put_merge, open_at_version, kind_after_index, subject_after_compact, lifecycle_errors, sql_view, maintenance_invariance, stream_ingest, approved_not_blacklisted, translations_of, tm_projection, as_of_state,
         within_3_months, reachability, vector_topk, payload_extract,
     )

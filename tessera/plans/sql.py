@@ -112,6 +112,8 @@ SQL = {
     "xliff_rejects": "SELECT page_id, CASE WHEN html LIKE '<!DOCTYPE%' THEN 'unsupported_construct' ELSE 'unknown_tag' END AS error FROM pages",
     "emit_logical": "SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest FROM documents",
     "emit_verbatim": "SELECT doc_id, md5(text) AS digest FROM documents",
+    "tmx_import": """SELECT CAST(p_partkey AS VARCHAR) AS tuid, unnest([0, 1])::INTEGER AS nth, unnest(['en-US', 'de-DE']) AS language,
+        unnest(['text:Click |placeholder:<ph x="1">{0}</ph>|text: & ' || p_name, 'text:' || p_brand || chr(10) || 'neu']) AS nodes FROM part""",
     "atoms_by_id": "SELECT 'en-US' AS language, unnest(['Click <b>' || p_name || '</b>', 'Click {0}' || p_name || '{1}']) AS text FROM part WHERE p_partkey = 1",
     "observations_of_kind": f"SELECT DISTINCT event_type AS kind, epoch_us(ts) AS recorded_us, {_PROPS} AS payload FROM events WHERE event_type = 'click'",
     "observations_by_subject": f"SELECT DISTINCT event_type AS kind, epoch_us(ts) AS recorded_us, {_PROPS} AS payload FROM events WHERE user_id = 7",

@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import hashlib
 
@@ -200,3 +201,63 @@ def test_constructors(spark):
     plain = spark.range(1).select(*N.observation(F.lit("k"), F.array(), at, F.lit(None).cast("timestamp"), F.lit("1"))).first()
     assert plain["effective_at"] is None
     assert list(map(bytes, spark.range(1).select(N.sorted_subjects(F.array(F.lit(bytearray(B)), F.lit(bytearray(A))))).first()[0])) == sorted([A, B])
+
+
+def test_what_failed_writes_leave_is_cleaned_up(spark, uri):
+    store = AtomStore.create(spark, uri)
+    store.put_atoms(atoms(spark, ("en-US", [("text", "x")])))
+    lost = store.data.write(store.stored())
+    draft = store.data._path(f"{uri}/_versions/.dead.draft")
+    store.data._fs.create(draft, False).close()
+    assert store.cleanup_versions(9).fragments_removed == 0  # young ones may belong to a write that is under way
+    assert store.cleanup_versions(9, unlisted_s=0).fragments_removed == 1
+    assert not store.data._fs.exists(draft) and not store.data._fs.exists(store.data._path(store.data.location(lost)))
+    assert said(decode_atoms(AtomStore.open(spark, uri).stored())) == [("en-US", (("text", "x"),))]
+
+
+def test_a_lost_race_leaves_no_draft(spark, uri):
+    one = AtomStore.create(spark, uri)
+    with pytest.raises(BackendError):
+        one.data.commit(dataclasses.replace(one.manifest, version=0))
+    assert [s.getPath().getName() for s in one.data._fs.listStatus(one.data._path(f"{uri}/_versions"))] == ["00000001.json"]
+    assert AtomStore.open(spark, uri).version == 1
+
+
+def test_indexed_fragments_lie_in_order_of_kind(spark, uri):
+    store = ObservationStore.create(spark, uri)
+    store.put_observations(facts(spark, *((k, [A], i, None, "{}") for i in range(50) for k in ("a", "b", "c"))))
+    store.ensure_indexes()
+    kinds = [r["kind"] for r in store.stored().coalesce(1).collect()]
+    assert kinds == sorted(kinds) and store.get_observations_of_kind("b").count() == 50
+    store.put_observations(facts(spark, ("b", [B], 99, None, "{}")))
+    assert store.get_observations_of_kind("b").count() == 51
+    plan = store.get_observations_of_kind("b")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(kind,b)" in plan
+
+
+def test_compaction_leaves_large_fragments(spark, uri):
+    store = ObservationStore.create(spark, uri)
+    store.put_observations(facts(spark, *(("a", [A], i, None, "{}") for i in range(2000))))
+    store.ensure_indexes()
+    (large,) = store.manifest.fragments
+    for i in range(3):
+        store.put_observations(facts(spark, ("b", [B], i, None, "{}")))
+    store.COMPACT_BYTES = store.data.size(large)
+    assert store.compact() and store.manifest.fragments[0] == large and len(store.manifest.fragments) == 2
+    assert store.manifest.indexed == store.manifest.fragments and not store.compact()
+    assert store.get_observations_by_subject(B).count() == 3 and store.get_observations_by_subject(A).count() == 2000
+
+
+def test_one_bad_row_fails_every_read(spark):
+    bad = atoms(spark, ("en-US", [("text", "x")]), ("en-US", [("bogus", "x")]))
+    with pytest.raises(Exception, match="UnknownNodeKind"):
+        decode_atoms(bad).select("language").collect()
+    with pytest.raises(Exception, match="InvalidKind"):
+        decode_observations(facts(spark, (" ", [A], 1, 1, "{}"))).select("payload").collect()
+
+
+def test_exposed_rows(spark, uri):
+    store = AtomStore.create(spark, uri)
+    store.put_atoms(atoms(spark, ("en-US", [("text", "x")]), ("fr-FR", [("text", "y")])))
+    store.expose("atoms_of_test")
+    assert spark.sql("SELECT language FROM atoms_of_test WHERE content[0].data = 'y'").collect() == [("fr-FR",)]
