@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import documents, written
 
-#: Labelled rows that the fit may use (those of least hash), and words kept of each label. They bound the fit alone.
-FIT_ROWS, LEXICON = 20_000, 2_000
+#: Labelled rows that the fit may use (those of least hash), which bounds the fit alone, and the log-likelihood ratio from
+#: which a word is tied to a label: a chance of one in a thousand.
+FIT_ROWS, TIED = 20_000, 10.83
 FEATURES, RIDGE, WIDTH, HOLDOUT = 384, 1e-3, 2.0, 5
 SYMBOLS = "#$%&*|!@^~<>=_+{}[]\\/"
 SCHEMA = "doc_id long, p_quality double, p_toxic double, keep boolean"
@@ -137,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     lex = counts.withColumns({"a": _ratio(F.col("n"), F.col("low"), n, low) if 0 < low < n else F.lit(0.0), "b": _ratio(F.col("n"), F.col("toxic"), n, toxic) if 0 < toxic < n else F.lit(0.0)})
     top = {}
     for side in ("a", "b"):
-        for r in lex.where(F.col(side) > 10.83).orderBy(F.col(side).desc(), "h").limit(LEXICON).collect():  # a chance of one in a thousand
+        for r in lex.where(F.col(side) > TIED).orderBy("h").collect():  # words of at most FIT_ROWS documents, in five of them or more
             top.setdefault(r["h"], [0.0, 0.0])["ab".index(side)] = r[side]
     if top:
         model.lexicon = K.Lookup(np.array(list(top), np.int64).view(np.uint64)), np.array(list(top.values()))
@@ -185,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_quality, p_toxic and keep (p_quality at least a half and p_toxic below it) of every row with an id.
 
-    Null and empty texts are scored as documents whose statistics are all 0. Repeated rows give repeated rows, an empty
+    Null and empty texts are scored as documents whose statistics are all 0; a text of any length is read whole. Equal
+    scores have equal probabilities. Repeated rows give repeated rows, an empty
     table none; further columns of either table are ignored. Without labelled rows both probabilities are null and every
     document is kept.
     """

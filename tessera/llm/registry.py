@@ -1,16 +1,31 @@
 """Queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from .class_lm import op2_class_lm
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .class_lm import MIN_COUNT, op2_class_lm
 from .decontaminate import op4_decontaminate
 from .language_id import op3_language_id
 from .lz_fingerprint import op1_lz_fingerprint
 from .near_dedup import op6_near_dedup
-from .packing import op8_packing
+from .packing import CAPACITY, op8_packing
 from .pii import op5_pii
 from .quality import op10_quality
 from .quotation import op9_quotation
 from .substring_dedup import op7_substring_dedup
 
+
+
+def packing_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens in every sequence that op8_packing fills: the part of its result that SQL can express."""
+    return op8_packing(spark, sf_dir).groupBy("sequence").agg(F.sum("n_tokens").alias("tokens"))
+
+
+def lm_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unknown words of every document, the part of op2_class_lm's result that SQL can express."""
+    return op2_class_lm(spark, sf_dir).select("doc_id", "n_tokens", "n_unknown")
+
+
 QUERIES = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op2_class_lm": op2_class_lm,
@@ -22,6 +37,17 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quotation": op9_quotation,
     "op10_quality": op10_quality,
+    "packing_sequences": packing_sequences,
+    "lm_tokens": lm_tokens,
+}
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+')"
+#: Statistics, automata, hashes and trained models have no counterpart in SQL: the ten operators themselves are tested by
+#: brute force. SQL has what can be said of two results in part.
+SQL: dict[str, str] = {
+    "packing_sequences": f"""WITH t AS (SELECT sum(len({_WORDS}))::BIGINT AS n FROM documents WHERE doc_id IS NOT NULL)
+        SELECT s AS sequence, least({CAPACITY}, n - s * {CAPACITY})::BIGINT AS tokens FROM t, unnest(range(0, (n + {CAPACITY - 1}) // {CAPACITY})) AS r(s)""",
+    "lm_tokens": f"""WITH w AS (SELECT rowid AS row, doc_id, unnest({_WORDS}) AS word FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)),
+        c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+        SELECT doc_id, count(*)::BIGINT AS n_tokens, count(*) FILTER (n < {MIN_COUNT})::BIGINT AS n_unknown FROM w JOIN c USING (word) GROUP BY row, doc_id
+        UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE doc_id IS NOT NULL AND (text IS NULL OR len({_WORDS}) = 0)""",
 }
-#: Statistics, automata, hashes and trained models have no counterpart in SQL; these queries are tested by brute force.
-SQL: dict[str, str] = {}

@@ -1,8 +1,10 @@
+import math
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.llm import kernel as K
 from tessera.llm import quality as C
 
 from .helpers import awkward, frame, text
@@ -90,3 +92,25 @@ def test_awkward_rows(spark):
     assert len(none) == len(got) and all(x["keep"] and x["p_quality"] is None for x in none)
     one = C.score(df, known.where("doc_id = 102")).collect()
     assert len(one) == len(got)
+
+
+def test_ratio_against_plain_arithmetic(spark):
+    cases = [(10, 9), (10, 5), (40, 1), (7, 7), (50, 50), (100, 50)]
+    rows, positive = 100, 50
+    got = {(x["n"], x["k"]): x["r"] for x in spark.createDataFrame([(float(a), float(b)) for a, b in cases], "n double, k double").withColumn("r", C._ratio(F.col("n"), F.col("k"), rows, positive)).collect()}
+    for n, k in cases:
+        p, q, rest = positive / rows, k / n, (positive - k) / max(rows - n, 1)
+        want = 0.0
+        if q > rest:
+            want = 2 * ((k * math.log(q / p) if k else 0) + ((n - k) * math.log((1 - q) / (1 - p)) if n > k else 0))
+        assert abs(got[n, k] - want) < 1e-9
+
+
+def test_every_tied_word_is_in_the_lexicon(spark):
+    r = random.Random(3)
+    bad = [f"bad{i}" for i in range(30)]
+    rows = [(i, " ".join([*text(r, 30).split(), *(r.sample(bad, 12) if i % 2 else [])])) for i in range(300)]
+    labels = spark.createDataFrame([(i, (i + 1) % 2, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = C.fit(frame(spark, rows), labels)
+    found = model.lexicon[0](np.array([K.hash64(w) for w in bad], np.uint64))
+    assert (found >= 0).all() and (model.lexicon[1][found] > C.TIED).all()
