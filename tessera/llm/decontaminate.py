@@ -85,15 +85,22 @@ class Benchmark:
     """Windows of a shard of the benchmark, by window length, and the items' tokens for the check of slots; words of items without windows."""
 
     def __init__(self, items: list[int], texts: list[str]) -> None:
-        rows, seen = [], set()
+        # Items with the same template and the same pattern of repeated values match the same passages, so one row stands for all.
+        rows: list[tuple[int, int]] = []
+        members: dict[tuple[bytes, bytes], dict[int, np.ndarray]] = {}
         for reading in range(3):
             one = Template(texts, reading)
-            for i in range(len(texts)):
-                key = i, one.h[one.ptr[i] : one.ptr[i + 1]].tobytes()
-                if key not in seen:
-                    seen.add(key)
+            for i in sorted(range(len(texts)), key=lambda i: items[i]):
+                own = slice(one.ptr[i], one.ptr[i + 1])
+                values = one.value[own][one.slot[own]]
+                _, first, number = np.unique(values, return_index=True, return_inverse=True)
+                key = one.h[own].tobytes(), first[number].tobytes()
+                if key not in members:
+                    members[key] = {}
                     rows.append((i, reading))
-        self.items = np.array([items[i] for i, _ in rows], np.int64)
+                members[key].setdefault(items[i], values)
+        self.ids = [np.array(list(x), np.int64) for x in members.values()]
+        self.values = [np.stack(list(x.values())) for x in members.values()]
         t = self.t = Template([texts[i] for i, _ in rows], np.array([x for _, x in rows]))
         size = np.diff(t.ptr)
         self.tables, windowed = [], set()
@@ -103,14 +110,15 @@ class Benchmark:
             start, h = start[own], h[own]
             if not len(h):
                 continue
-            windowed |= {rows[x][0] for x in np.unique(t.doc[start]).tolist()}
+            windowed |= {item for x in np.unique(t.doc[start]).tolist() for item in self.ids[x].tolist()}
             order = np.argsort(h, kind="stable")
             keys, first = np.unique(h[order], return_index=True)
             self.tables.append((k, K.Lookup(keys), start[order], np.append(first, len(h))))
         self.plain: list[tuple[int, K.Lookup, list[list[int]]]] = []
         w = K.Words(texts)
         n, h = np.diff(w.ptr), K.spans_hash(w.h, w.ptr[:-1], w.ptr[1:])
-        exact = [i for i in range(len(texts)) if (i not in windowed or size[i] < WINDOW) and n[i] > 1]  # the first readings stand first
+        whole = np.diff(Template(texts).ptr)
+        exact = [i for i in range(len(texts)) if (items[i] not in windowed or whole[i] < WINDOW) and n[i] > 1]
         for k in sorted({int(n[i]) for i in exact}):
             own: dict[int, list[int]] = {}
             for i in exact:
@@ -161,7 +169,7 @@ class Benchmark:
         # Placeholders of a template can stretch a passage by a token or two, so diagonals are followed from hit to hit.
         order = np.lexsort((a, a - b, item, doc))
         doc, item, a, b, k = doc[order], item[order], a[order], b[order], k[order]
-        group = np.flatnonzero(np.diff(doc * len(self.items) + item, prepend=-1))
+        group = np.flatnonzero(np.diff(doc * len(self.ids) + item, prepend=-1))
         out = []
         for lo, hi in zip(group, np.append(group[1:], len(a)), strict=True):
             size = int(self.t.ptr[item[lo] + 1] - self.t.ptr[item[lo]])
@@ -184,11 +192,14 @@ class Benchmark:
                 good = sum(p == 1 for p in _fan(mine, theirs))
                 if len(place) and good < CONSISTENT * len(place):
                     continue
-                changed = sum(p != q for p, q in zip(mine, theirs, strict=True))
+                nth = np.cumsum(self.t.slot[base : base + size])[place] - 1
+                differ = (self.values[item[lo]][:, nth] != t.value[tokens[place]]).sum(1)
+                best = int(np.argmin(differ))
                 inside = tokens[covered]
-                passing.append((coverage, len(hits), len(place), changed, int(t.s[inside.min()] - t.at[d]), int(t.e[inside.max()] - t.at[d])))
+                passing.append((coverage, len(hits), int(self.ids[item[lo]][best]), len(place), int(differ[best]), int(t.s[inside.min()] - t.at[d]), int(t.e[inside.max()] - t.at[d])))
             if passing:
-                out.append((d, int(self.items[item[lo]]), *max(passing, key=lambda p: p[:2])))
+                coverage, found, own, *rest = max(passing, key=lambda p: p[:2])
+                out.append((d, own, coverage, found, *rest))
         return out
 
 
@@ -243,7 +254,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Passages of the benchmark in documents: doc_id, item_id, coverage, window_hits, slots, changed_slots, doc_start, doc_end.
 
     One row for a row of docs and an item that it contains, with the bounds in characters of the best passage: the best
-    covered, then that with more hits, with fewer changed slots, and the first. Texts that share an item's id are all
+    covered, then that with more hits, with fewer changed slots, and the first. Items with the same template and the same
+    pattern of repeated values can't be told apart by a passage: of these the one with fewest changed slots, then the
+    least id, has the row. Texts that share an item's id are all
     looked for. Clean documents have no row; nor have rows without an id and null or empty texts. A text of any length
     is searched whole. An item of one word says nothing and is never found. Repeated rows give repeated rows; empty
     tables on either side give none; further columns are ignored.

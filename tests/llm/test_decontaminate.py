@@ -110,6 +110,17 @@ def test_items_without_a_window_are_found_word_for_word(spark):
     assert set(run(spark, docs, items)) == {(1, 1), (2, 2), (3, 3), (5, 3), (6, 3)}
 
 
+def test_items_of_one_template_have_one_row(spark):
+    r = random.Random(10)
+    make = lambda a, b: f"if a tank holds {a} litres and loses {b} litres a day then how many days does the water in it last"
+    items = [(i, make(100 + i, 2 + i % 7)) for i in range(500)] + [(900, make(8, 8))]
+    docs = [(1, f"{text(r, 60)} {items[77][1]} {text(r, 60)}"), (2, f"{text(r, 60)} {make(7, 9)} {text(r, 60)}"), (3, make(5, 5))]
+    assert len(C.Benchmark(*map(list, zip(*items, strict=True))).ids) <= 4
+    found = run(spark, docs, items)
+    assert {k for k in found if k[0] != 2} == {(1, 77), (3, 900)}
+    assert found[1, 77]["changed_slots"] == 0 and sum(k[0] == 2 for k in found) == 1
+
+
 def test_stage_over_several_shards(spark, tmp_path, monkeypatch):
     r = random.Random(9)
     items = [(i, text(r, 25)) for i in range(20)]
