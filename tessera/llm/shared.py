@@ -28,10 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process wrote and hasn't removed, in order.
+WRITTEN: list[str] = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that `written` made, once nothing reads them any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        WRITTEN.remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: later steps neither recompute it nor depend on an executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,8 +67,8 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def _marked(docs: DataFrame, ids: DataFrame, bits: str, at_most: int) -> DataFrame:
-    """docs with a column that is 1 where doc_id may be among the ids (a column id), as it is for every one that is, and 0 elsewhere.
+def _marked(docs: DataFrame, ids: DataFrame, bits: str, at_most: int, on: str = "doc_id") -> DataFrame:
+    """docs with a column that is 1 where its column `on` may be among the ids (a column id), as it is for every one that is, and 0 elsewhere.
 
     A blocked Bloom filter: the hash of an id picks a word and two of its bits. It has a word for every eight ids, as many
     as at_most at most. Beyond that it lets more through, and that changes how many rows are joined and nothing else.
@@ -67,19 +80,19 @@ def _marked(docs: DataFrame, ids: DataFrame, bits: str, at_most: int) -> DataFra
     mask = lambda c: one(F.pmod(F.shiftright(h(c), 6), F.lit(64))).bitwiseOR(one(F.pmod(h(c), F.lit(64))))
     slot = lambda c: F.pmod(F.shiftright(h(c), 12), F.lit(n))
     words = ids.groupBy(slot("id").alias(slots)).agg(F.bit_or(mask("id")).alias(word))
-    met = docs.withColumn(slots, slot("doc_id")).join(F.broadcast(words), slots, "left")  # at most at_most rows
-    mine = mask("doc_id")
+    met = docs.withColumn(slots, slot(on)).join(F.broadcast(words), slots, "left")  # at most at_most rows
+    mine = mask(on)
     return met.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce((F.col(word).bitwiseAND(mine) == mine).cast("int"), F.lit(0)).alias(bits))
 
 
-def joined(docs: DataFrame, keys: DataFrame, at_most: int | None = None) -> DataFrame:
-    """documents() joined with keys (written; by its column id) on doc_id.
+def joined(docs: DataFrame, keys: DataFrame, on: str = "doc_id", at_most: int | None = None) -> DataFrame:
+    """documents(), or other rows of known columns, joined with keys (written; by its column id) on doc_id or another column of longs.
 
     Rows that a filter of the ids rules out are dropped where they are read, so only the others are shuffled. The plan is
     the same at every size: filter, then merge join.
     """
-    maybe = _marked(docs, keys, "_bits", at_most or FILTER_WORDS).where("_bits = 1").drop("_bits")
-    return maybe.join(keys.hint("merge"), F.col("doc_id") == F.col("id")).drop("id")
+    maybe = _marked(docs, keys, "_bits", at_most or FILTER_WORDS, on).where("_bits = 1").drop("_bits")
+    return maybe.join(keys.hint("merge"), F.col(on) == F.col("id")).drop("id")
 
 
 def without(docs: DataFrame, ids: DataFrame, at_most: int | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ so two documents that share such a run share an anchor. The document with the le
 anchor is the run's reference: where all that have an anchor have the same words around it, that is the least of them;
 where the words around it differ, as they do around a stock phrase, the runs are compared one by one. Passages of reference documents around their anchors are spread over shards, and each shard's suffix
 automaton of words is built once per copy of the shard and streamed over by every document that shares an anchor with
-it. Automata that many documents need are copied to many tasks, the way a broadcast would, but never as a whole corpus.
+it. A shard is broadcast to the tasks that need it by a shuffle, in as many copies as there are documents for: a broadcast
+variable would go to every executor, and reference passages grow with the corpus.
 
 While streaming, the matching statistics (the longest match that ends at each word) give the maximal spans of the
 document that occur in an earlier one; those of at least MIN_WORDS words are removed.
@@ -168,8 +169,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def owners(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(owner, doc_id, place): for every anchor of a document, the least documents with a run of MIN_WORDS words around it that several have."""
     one = F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), (F.min("context") != F.max("context")).alias("mixed")
-    shared = written(found.groupBy("anchor").agg(*one).where("owner <> last").drop("last"), "sub-owners")
-    met = written(found.join(shared, "anchor"), "sub-met")
+    shared = written(found.groupBy("anchor").agg(*one).where("owner <> last").drop("last").withColumnRenamed("anchor", "id"), "sub-owners")
+    met = written(joined(found, shared, "anchor"), "sub-met")  # anchors of one document stay where they are
     plain = met.where("not mixed").select("owner", "doc_id", "place")
     # Documents with the same words around an anchor have the same runs, so the least of them stands for all.
     least = F.min(F.struct("doc_id", "place")).alias("least"), F.max("doc_id").alias("last")
@@ -235,7 +236,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_passages(docs: DataFrame) -> DataFrame:
     """Documents with passages that an earlier document has: doc_id, n_spans, removed_chars, spans (characters), text without them.
 
-    Other documents have no row; nor have rows without an id, and null, empty and short texts. Rows with the same doc_id
+    Other documents have no row; nor have rows without an id, and null, empty and short texts. A text of any length is
+    streamed whole. Of several earlier documents with a passage it makes no difference which is meant. Rows with the same doc_id
     are parts of one document, and nothing is removed from either for the other's sake; each gives its own row. A text
     that repeats itself isn't touched. An empty table gives no rows; further columns are ignored.
     """
@@ -247,7 +249,8 @@ def shared_passages(docs: DataFrame) -> DataFrame:
     shard = lambda c: F.pmod(F.xxhash64(c), F.lit(n_shards)).cast("int")
     own = F.col("owner") == F.col("doc_id")
     needs = hits.groupBy("doc_id").agg(F.collect_set(F.when(~own, shard("owner"))).alias("shards"), F.collect_set(F.when(own, F.col("place"))).alias("places"))
-    wanted = written(texts.withColumn("version", F.xxhash64("text")).join(needs, "doc_id"), "sub-texts")  # the only documents that can hold a passage or lend one
+    wanted = joined(texts, written(needs.withColumnRenamed("doc_id", "id"), "sub-needs")).withColumn("version", F.xxhash64("text"))
+    wanted = written(wanted, "sub-texts")  # the only documents that can hold a passage or lend one
     query = wanted.where(F.size("shards") > 0).select(F.explode("shards").alias("shard"), F.lit(True).alias("is_query"), "doc_id", F.lit(None).cast("array<int>").alias("places"), "version", "text")
     reference = wanted.where(F.size("places") > 0).select(shard("doc_id").alias("shard"), F.lit(False).alias("is_query"), "doc_id", "places", "version", "text")
     copies = query.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / COPY_CHARS).cast("int").alias("copies"))
