@@ -31,7 +31,7 @@ KINDS = ("email", "phone", "ip", "card", "ssn", "secret", "name", "address")
 LABELS = 1 + 2 * len(KINDS)  # 0 outside, then begin and inside of each kind
 #: Size of a state and of a character's vector; characters of a window and those that it shares with the next; windows side by side.
 HIDDEN, EMBED, WINDOW, OVERLAP, TOGETHER = 16, 8, 512, 48, 512
-POOL, TRAIN_STEPS, TRAIN_WINDOW, BATCH, SEED, SLOPE, RATE = 2_000_000, 1800, 96, 112, 11, 0.25, 0.07
+POOL, TRAIN_STEPS, TRAIN_WINDOW, BATCH, SEED, SLOPE, RATE, LOCAL = 2_000_000, 1800, 96, 112, 11, 0.25, 0.07, 0.5
 SCHEMA = "doc_id long, n_spans int, spans array<struct<start:int,end:int,kind:string>>, text string"
 
 _SYMBOLS = " \n\t" + string.ascii_letters + "0" + string.punctuation
@@ -258,17 +258,20 @@ class Steps:
         n, t, h, dt = len(start), int(size[0]), HIDDEN, p["w"].dtype
         live = n - np.searchsorted(size[::-1], np.arange(t), "right")
         self.size, self.longest = size, t
-        self.hs = np.empty((t, 2, h, n), dt)
+        # By character: what direction 0 knew there, a constant, and what direction 1 knew (windows of one size) or knew that many steps from its start (others).
+        self.even = int(size[-1]) == t
+        self.hs = np.zeros((t, 2 * h + 1, n), dt)
+        self.hs[:, h] = 1
         z, a, c, v, d = np.zeros((2, h + EMBED + 1, n), dt), np.empty((2, 4 * h, n), dt), np.zeros((2, h, n), dt), np.empty((2, h, n), dt), np.empty((2, h, n), dt)
         z[:, -1] = 1
         none, one = dt.type(0), dt.type(1)
         emb, w = p["emb"], sloped(p["w"])
         first, last = start.copy(), start + size - 1
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for m in live.tolist():
+        for k, m in enumerate(live.tolist()):
             if m < z.shape[2]:
                 z, a, c, v, d, first, last = (x[..., :m] for x in (z, a, c, v, d, first, last))
-            gates, u, hs = a[:, : 3 * h], a[:, 3 * h :], self.hs[len(self.hs) - t, :, :, :m]
+            gates, u = a[:, : 3 * h], a[:, 3 * h :]
             emb.take(codes.take(first), 1, out=z[0, h:-1], mode="clip")
             emb.take(codes.take(last), 1, out=z[1, h:-1], mode="clip")
             np.matmul(w, z, out=a)
@@ -284,27 +287,29 @@ class Steps:
             np.abs(c, out=d)
             d += one
             np.divide(c, d, out=v)
-            np.multiply(gates[:, 2 * h :], v, out=hs)
-            z[:, :h] = hs
+            np.multiply(gates[:, 2 * h :], v, out=z[:, :h])
+            self.hs[k, :h, :m] = z[0, :h]
+            self.hs[t - 1 - k if self.even else k, h + 1 :, :m] = z[1, :h]
             first += 1
             last -= 1
-            t -= 1
 
     def emissions(self, p: dict[str, np.ndarray], lo: int, hi: int) -> np.ndarray:
         """(characters lo to hi of each window, labels, windows); what lies beyond a window's end has no meaning."""
-        at = self.size - 1 - np.arange(lo, hi)[:, None]
-        if self.size[-1] == self.size[0]:
-            back = self.hs[int(at[-1, 0]) : int(at[0, 0]) + 1, 1][::-1]
-        else:
-            back = self.hs[np.maximum(at, 0), 1, :, np.arange(len(self.size))].transpose(0, 2, 1)
-        out = np.matmul(p["e"][0], self.hs[lo:hi, 0])
-        out += np.matmul(p["e"][1], back)
-        out += p["o"]
+        w, h = np.concatenate([p["e"][0], p["o"], p["e"][1]], 1), HIDDEN
+        if self.even:
+            return np.matmul(w, self.hs[lo:hi])
+        at = np.maximum(self.size - 1 - np.arange(lo, hi)[:, None], 0)
+        out = np.matmul(w[:, : h + 1], self.hs[lo:hi, : h + 1])
+        out += np.matmul(w[:, h + 1 :], self.hs[at, h + 1 :, np.arange(len(self.size))].transpose(0, 2, 1))
         return out
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean negative log likelihood of the labels per character and its gradient, by forward-backward and back-propagation."""
+    """Mean loss per character and its gradient, by forward-backward and back-propagation.
+
+    The loss is the negative log likelihood of the labels, and LOCAL times that of each label by its emissions alone.
+    Without the second part emissions are free wherever transitions decide, and the decoder's bounds exclude little.
+    """
     n, t = x.shape
     h = HIDDEN
     net = Steps(p, x.ravel(), np.arange(n) * t, np.full(n, t), keep=True)
@@ -327,13 +332,17 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
     scale = 1 / (n * t)
     d_em = fw * bw
     d_t = m * (fw[:-1].reshape(-1, LABELS).T @ (e[1:] * bw[1:] / c[1:]).reshape(-1, LABELS))
-    d_em[np.arange(t)[:, None], rows, y.T] -= 1
+    alone = e / e.sum(-1, keepdims=True)
+    local = -np.log(alone[np.arange(t)[:, None], rows, y.T]).mean()
+    d_em += LOCAL * alone
+    d_em[np.arange(t)[:, None], rows, y.T] -= 1 + LOCAL
     dt = p["w"].dtype
     d_em = np.ascontiguousarray((d_em * scale).astype(dt).transpose(0, 2, 1))  # time, labels, windows
     d_t -= np.bincount((y[:, :-1] * LABELS + y[:, 1:]).ravel(), minlength=LABELS * LABELS).reshape(LABELS, LABELS)
     both = np.stack([d_em, d_em[::-1]], 1)  # in each direction's own order of time
     g = {"o": d_em.sum((0, 2))[:, None], "t": (d_t * scale).astype(dt), "w": np.zeros_like(p["w"]), "emb": np.zeros_like(p["emb"])}
-    g["e"] = np.matmul(both, net.hs.transpose(0, 1, 3, 2)).sum(0)
+    hs = np.stack([net.hs[:, :h], net.hs[::-1, h + 1 :]], 1)
+    g["e"] = np.matmul(both, hs.transpose(0, 1, 3, 2)).sum(0)
     d_dir = np.matmul(p["e"].transpose(0, 2, 1), both)
     dh, dc, d_pre = np.zeros((2, h, n), dt), np.zeros((2, h, n), dt), np.empty((2, 4 * h, n), dt)
     d_x = np.empty((t, 2, EMBED, n), dt)
@@ -355,7 +364,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
     codes = np.stack([x.T, x[:, ::-1].T], 1).ravel()
     for j in range(EMBED):
         g["emb"][j] = np.bincount(codes, d_x[:, :, j].ravel(), N_CODES)
-    return float((z - gold).mean() / t), g
+    return float((z - gold).mean() / t + LOCAL * local), g
 
 
 @lru_cache(2)
@@ -483,7 +492,7 @@ class Decoder:
         lo = 0
         while lo < len(order):  # stretches of like length together, as much padded room as about 200,000 characters take
             hi = lo + 1
-            while hi < len(order) and (hi + 1 - lo) * size[order[hi]] <= 200_000:
+            while hi < len(order) and (hi + 1 - lo) * size[order[hi]] <= 200_000 and size[order[hi]] <= 2 * size[order[lo]] + 8:
                 hi += 1
             own = order[lo:hi]
             if len(own) == 1:

@@ -32,6 +32,7 @@ def test_gradients_are_those_of_the_loss():
 def test_likelihood_and_viterbi_against_all_paths(monkeypatch):
     monkeypatch.setattr(P, "KINDS", P.KINDS[:2])
     monkeypatch.setattr(P, "LABELS", 5)
+    monkeypatch.setattr(P, "LOCAL", 0)
     rng = np.random.default_rng(1)
     p = P.initial(1)
     x, y = np.array([[5, 60, 7, 9]]), np.array([[0, 1, 2, 0]])
