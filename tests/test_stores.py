@@ -242,7 +242,7 @@ def test_compaction_leaves_large_fragments(spark, uri):
     (large,) = store.manifest.fragments
     for i in range(3):
         store.put_observations(facts(spark, ("b", [B], i, None, "{}")))
-    store.COMPACT_BYTES = store.data.size(large)
+    store.COMPACT_BYTES, store.data.size = 5, lambda f: 9 if f == large else 1
     assert store.compact() and store.manifest.fragments[0] == large and len(store.manifest.fragments) == 2
     assert store.manifest.indexed == store.manifest.fragments and not store.compact()
     assert store.get_observations_by_subject(B).count() == 3 and store.get_observations_by_subject(A).count() == 2000
