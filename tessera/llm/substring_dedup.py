@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -45,17 +45,23 @@ def sliding_min(v: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(after[:n], before[k - 1 : k - 1 + n])
 
 
-def anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Words at which an anchor begins, and its hash. Every run of MIN_WORDS words of a text holds one that depends on the run alone."""
+def chosen(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every run of MIN_WORDS words of a text where it begins and the word at which its anchor begins, which depends on the run alone; and the hash of GRAM words from every word on."""
     n = len(w.h) - GRAM + 1
     if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     start = np.arange(n)
     g = K.spans_hash(w.h, start, start + GRAM)
     v = (g & _U(0xFFFFFFFF00000000)) | start.astype(np.uint64)
     least = sliding_min(v, WINDOW)
-    inside = w.doc[: len(least)] == w.doc[MIN_WORDS - 1 : MIN_WORDS - 1 + len(least)]
-    at = np.unique((least[inside] & _U(0xFFFFFFFF)).astype(np.int64))
+    inside = np.flatnonzero(w.doc[: len(least)] == w.doc[MIN_WORDS - 1 : MIN_WORDS - 1 + len(least)])
+    return inside, (least[inside] & _U(0xFFFFFFFF)).astype(np.int64), g
+
+
+def anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Words at which an anchor begins, and its hash. Every run of MIN_WORDS words of a text holds one that depends on the run alone."""
+    _, at, g = chosen(w)
+    at = np.unique(at)
     return at, g[at]
 
 
@@ -147,23 +153,25 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all runs of MIN_WORDS words around the anchors that are asked for; texts of a repeated id that don't have them are passed over."""
+    """Hashes of all runs of MIN_WORDS words whose anchors are asked for; texts of a repeated id that don't have them are passed over."""
     for batch, texts in K.chunks(batches):
         w = K.Words(texts)
         asked = batch.column("asked")
         if isinstance(asked, pa.ChunkedArray):
             asked = asked.combine_chunks()
         row, own = np.repeat(np.arange(len(texts)), asked.value_lengths().to_numpy(zero_copy_only=False)), asked.flatten()
-        place, anchor, context, last = (own.field(c).to_numpy(zero_copy_only=False) for c in ("place", "anchor", "context", "last"))
+        place, anchor, context, around, many = (own.field(c).to_numpy(zero_copy_only=False) for c in ("place", "anchor", "context", "around", "many"))
         at = w.ptr[row] + place
         fits = np.flatnonzero(at + GRAM <= w.ptr[row + 1])
         fits = fits[(K.signed(K.spans_hash(w.h, at[fits], at[fits] + GRAM)) == anchor[fits])]
         fits = fits[K.signed(contexts(w, at[fits])) == context[fits]]
-        start = np.arange(WINDOW) - WINDOW + 1 + at[fits][:, None]
-        nth, which = np.nonzero((start >= w.ptr[row[fits]][:, None]) & (start + MIN_WORDS <= w.ptr[row[fits] + 1][:, None]))
-        start, fits = start[nth, which], fits[nth]
+        which = np.full(len(w.h), -1)
+        which[at[fits]] = fits
+        start, anchored, _ = chosen(w)
+        own = which[anchored]
+        start, fits = start[own >= 0], own[own >= 0]
         run = K.spans_hash(w.h, start, start + MIN_WORDS)
-        yield K.batch_of(run=K.signed(run), anchor=anchor[fits], context=context[fits], first=batch.column("doc_id").take(pa.array(row[fits])), last=last[fits])
+        yield K.batch_of(run=K.signed(run), around=around[fits], first=batch.column("doc_id").take(pa.array(row[fits])), many=many[fits])
 
 
 def owners(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -173,14 +181,16 @@ def owners(docs: DataFrame, found: DataFrame) -> DataFrame:
     met = written(joined(found, shared, "anchor"), "sub-met")  # anchors of one document stay where they are
     plain = met.where("not mixed").select("owner", "doc_id", "place")
     # Documents with the same words around an anchor have the same runs, so the least of them stands for all.
-    least = F.min(F.struct("doc_id", "place")).alias("least"), F.max("doc_id").alias("last")
-    alike = written(met.where("mixed").groupBy("anchor", "context").agg(*least), "sub-contexts")
-    asked = alike.groupBy(F.col("least.doc_id").alias("id")).agg(F.collect_list(F.struct("least.place", "anchor", "context", "last")).alias("asked"))
+    around = F.xxhash64("anchor", "context").alias("around")
+    least = F.min(F.struct("doc_id", "place")).alias("least"), (F.min("doc_id") < F.max("doc_id")).alias("many")
+    alike = met.where("mixed").groupBy("anchor", "context", around).agg(*least)
+    asked = alike.groupBy(F.col("least.doc_id").alias("id")).agg(F.collect_list(F.struct("least.place", "anchor", "context", "around", "many")).alias("asked"))
     runs = joined(documents(docs), written(asked, "sub-asked")).select("doc_id", "text", "asked")
-    runs = runs.mapInArrow(_runs, "run long, anchor long, context long, first long, last long")
-    same = Window.partitionBy("run")
-    owned = runs.withColumns({"owner": F.min("first").over(same), "most": F.max("last").over(same)}).where("owner <> most").select("anchor", "context", "owner").distinct()
-    return plain.union(met.drop("owner").join(written(owned, "sub-runs"), ["anchor", "context"]).select("owner", "doc_id", "place"))
+    runs = written(runs.mapInArrow(_runs, "run long, around long, first long, many boolean"), "sub-runs")
+    several = ((F.min("first") < F.max("first")) | F.max("many")).alias("several")
+    owned = written(runs.groupBy(F.col("run").alias("id")).agg(F.min("first").alias("owner"), several).where("several").drop("several"), "sub-owned")
+    owned = written(joined(runs.select("run", "around"), owned, "run").select("around", "owner").distinct(), "sub-around")
+    return plain.union(met.where("mixed").drop("owner").withColumn("around", around).join(owned, "around").select("owner", "doc_id", "place"))
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
