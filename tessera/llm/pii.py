@@ -31,7 +31,7 @@ KINDS = ("email", "phone", "ip", "card", "ssn", "secret", "name", "address")
 LABELS = 1 + 2 * len(KINDS)  # 0 outside, then begin and inside of each kind
 #: Size of a state and of a character's vector; characters of a window and those that it shares with the next; windows side by side.
 HIDDEN, EMBED, WINDOW, OVERLAP, TOGETHER = 16, 8, 512, 48, 512
-POOL, TRAIN_STEPS, TRAIN_WINDOW, BATCH, SEED, SLOPE, RATE, LOCAL = 2_000_000, 1800, 96, 112, 11, 0.25, 0.07, 0.5
+POOL, TRAIN_STEPS, TRAIN_WINDOW, BATCH, SEED, SLOPE, RATE, LOCAL = 2_000_000, 1800, 96, 112, 12, 0.25, 0.07, 0.5
 SCHEMA = "doc_id long, n_spans int, spans array<struct<start:int,end:int,kind:string>>, text string"
 
 _SYMBOLS = " \n\t" + string.ascii_letters + "0" + string.punctuation
@@ -71,16 +71,23 @@ def _word(r: random.Random) -> str:
     return "".join(r.choice(_ONSET) + r.choice(_VOWEL) + r.choice(_CODA) for _ in range(r.choice([1, 1, 2, 2, 2, 3, 3, 4])))
 
 
+_OTHER = "日本語中文字한국어العربيةпривітмирγλώσσα" + "e\u0301" * 3  # letters that all have one code
+
+
+def _foreign(r: random.Random) -> str:
+    return "".join(r.choice(_OTHER) for _ in range(r.randint(1, 8)))
+
+
 def _person(r: random.Random) -> str:
     given = r.choice(_GIVEN) if r.random() < 0.7 else _word(r).capitalize()
     family = r.choice(_FAMILY) if r.random() < 0.6 else _word(r).capitalize()
     return r.choice([f"{given} {family}", f"{given} {family}", f"{given} {family}", f"{given[0]}. {family}", family])
 
 
-def _filler(r: random.Random, words: float) -> str:
+def _filler(r: random.Random, words: float, other: float) -> str:
     """A word or something with digits or an at sign that is no personal data."""
     if r.random() < words:
-        w = r.choice(_COMMON) if r.random() < 0.15 else _word(r)
+        w = _foreign(r) if r.random() < other else r.choice(_COMMON) if r.random() < 0.15 else _word(r)
         if r.random() < 0.04:
             w += _word(r) + _word(r)
         w = w.capitalize() if r.random() < 0.08 else w
@@ -157,7 +164,7 @@ def labelled(r: random.Random, length: int) -> tuple[str, list[tuple[int, int, s
     out, spans, size = [], [], 0
     junk = r.choice(["", "", "", "", "sym", "!!", "|"])
     again = low = False  # data stand next to each other more often than by chance; no capital follows a name or address at once
-    often, words = r.choice([0.13, 0.13, 0.03, 0.0]), r.choice([0.72, 0.9, 0.98])
+    often, words, other = r.choice([0.13, 0.13, 0.03, 0.0]), r.choice([0.72, 0.9, 0.98]), r.choice([0.01] * 9 + [0.9])
     begins = True
     while size < length:
         if again or r.random() < often:
@@ -168,7 +175,7 @@ def labelled(r: random.Random, length: int) -> tuple[str, list[tuple[int, int, s
             if r.random() < 0.25:
                 piece += r.choice([".", ",", ";", ")", "?"])
         else:
-            piece = _filler(r, words)
+            piece = _filler(r, words, other)
             if low:
                 piece = piece[:1].lower() + piece[1:]
             elif begins and r.random() < 0.9:
@@ -439,8 +446,8 @@ class Decoder:
         self.leave = float(max(0, (self.trans[1:, 0] - rest).max()))
 
     def gain(self, codes: np.ndarray, windows: Windows) -> np.ndarray:
-        """For every character the most that any label adds over outside; a large negative number between texts."""
-        out = np.full(len(codes), -1e4, np.float32)
+        """For every character the most that any label adds over outside; 0 between texts."""
+        out = np.zeros(len(codes), np.float32)
         p = self.p | {"e": self.p["e"][:, 1:] - self.p["e"][:, :1], "o": self.p["o"][1:] - self.p["o"][0] + self.enter}
         for b in windows.batches(np.arange(len(windows.size))):
             net = Steps(p, codes, windows.start[b], windows.size[b])
@@ -449,9 +456,11 @@ class Decoder:
                 out[start + lo : start + hi] = row[lo:hi]
         return out
 
-    def open_stretches(self, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def open_stretches(self, gain: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the stretches outside of which no character can be in a span: around each other one, every run loses against outside."""
-        total = np.concatenate([[0.0], np.cumsum(gain, dtype=float)])
+        gain = gain.astype(float)
+        gain[at[1:] - 1] = -np.maximum(gain, 0).sum() - 1  # no run can make up for the end of its text
+        total = np.concatenate([[0.0], np.cumsum(gain)])
         before = np.minimum.accumulate(total[:-1])
         after = np.maximum.accumulate(total[:0:-1])[::-1]
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (after - before + self.leave > -0.01).view(np.int8), [0]])))
@@ -547,7 +556,7 @@ def find(texts: list[str], decoder: Decoder) -> list[list[tuple[int, int, str]]]
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     cp, at = K.codes(texts)
     codes, windows = _code_table()[cp].astype(np.int64), Windows(at)
-    starts, ends = decoder.open_stretches(decoder.gain(codes, windows))
+    starts, ends = decoder.open_stretches(decoder.gain(codes, windows), at)
     if not len(starts):
         return out
     labels = np.zeros(len(codes), np.int64)

@@ -91,7 +91,7 @@ def test_windows_speak_for_every_character_once():
 
 def test_decoding_is_viterbi_over_all_emissions_of_the_document(params):
     r = random.Random(8)
-    texts = [P.labelled(r, n)[0] for n in (0, 3, 90, 700, 1500, 4000)] + ["", "7", "@", "ann.lee@example.com", "1 " * 900, text(r, 900)]
+    texts = [P.labelled(r, n)[0] for n in (0, 3, 90, 700, 1500, 4000)] + ["", "7", "@", "ann.lee@example.com", "1 " * 900, text(r, 900), "plain", "a" * 9000, "plain", "7" * 3000, "e"]
     d = P.Decoder(params)
     got = P.find(texts, d)
     for t, spans in zip(texts, got, strict=True):
