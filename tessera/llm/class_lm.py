@@ -201,7 +201,7 @@ def contexts(pairs: DataFrame, cls: np.ndarray) -> DataFrame:
             held_n.append(m)
             size += len(k)
             both = (before >= 0) & (after >= 0)
-            np.add.at(total, before[both] * CLASSES + after[both], n[both])
+            total += np.bincount(before[both] * CLASSES + after[both], n[both], CLASSES * CLASSES).astype(np.int64)
             if size > 2 * FLUSH:
                 k, m = _merge(held_k, held_n)
                 held_k, held_n, size = [k], [m], len(k)
