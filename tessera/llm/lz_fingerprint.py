@@ -4,9 +4,13 @@ Each document is parsed once from left to right into dictionary phrases: a phras
 isn't in the document's own dictionary yet, which it then joins. The phrases are hashed, and a one-permutation
 minimum-hash signature of the phrase set estimates the Jaccard similarity of two dictionaries, a stand-in for how well
 the two documents compress together. Words are the symbols, as phrases of characters are mostly fragments that any two
-texts of a language share. Documents with an equal band of their signatures meet in a bucket. There each is compared
-with the bucket's least id first, so thousands of copies cost one comparison each; those that nothing was found for are
-then compared with all others of their buckets, in blocks.
+texts of a language share.
+
+Two texts are linked if the similarity of their signatures reaches the threshold, and all such pairs are found. Linked
+signatures differ in 37 of 126 bins at most. The bins are cut into 19 groups, so one group has one differing bin at most,
+and of its three parts two are equal. Every text has a key for each two parts of each group, and linked texts share at
+least one key. All pairs that share a key are compared, in blocks, and a link counts under the first key that its two
+texts share. Copies are one signature with a count.
 """
 
 from __future__ import annotations
@@ -15,15 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .near_dedup import components
 from .shared import documents, written
 
-BINS, BANDS, THRESHOLD = 126, 21, 0.7
+BINS, THRESHOLD = 126, 0.7
 #: Signatures in a block: a larger bucket is compared block by block, in as many tasks as there are pairs of blocks.
 BLOCK = 4096
+#: Buckets up to this size are compared once if they have the same members. It changes how much is compared and nothing else.
+SMALL = 64
+#: Pairs compared at a time.
+PAIRS = 1 << 16
 _U = np.uint64
 SCHEMA = "doc_id long, n_phrases int, signature binary"
 
@@ -73,6 +82,12 @@ def similarity(agree: np.ndarray) -> np.ndarray:
     return np.maximum(0, (agree - 1 / 256) / (1 - 1 / 256))
 
 
+#: Equal bins that reach the threshold, and the bins of every key: two of the three parts of a group.
+NEED = next(n for n in range(BINS + 1) if similarity(np.array(n / BINS)) >= THRESHOLD)
+GROUPS = (BINS - NEED) // 2 + 1
+KEYS = [np.delete(np.arange(BINS)[group], part) for group in np.array_split(np.arange(BINS), GROUPS) for part in np.array_split(np.arange(len(group)), 3)]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in K.chunks(batches):
         n, sig = signatures(texts)
@@ -84,101 +99,170 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(_parse, SCHEMA)
 
 
-def _matrix(batch: pa.RecordBatch, column: str = "signature") -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, BINS)
+def bucket_keys(sig: np.ndarray) -> np.ndarray:
+    """By row its keys; the highest byte of a key is its number."""
+    wide, keys = sig.astype(np.uint64), np.zeros((len(sig), len(KEYS)), np.uint64)
+    with np.errstate(over="ignore"):
+        for j, bins in enumerate(KEYS):
+            for x in bins:
+                keys[:, j] = keys[:, j] * _U(0xD6E8FEB86659FD93) + wide[:, x] + _U(1)
+            keys[:, j] = (K.mix(keys[:, j]) >> _U(8)) | _U(j << 56)
+    return K.signed(keys)
+
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, BINS)
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    wide = BINS // BANDS
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sig = _matrix(b).astype(np.uint64)
-        keys = np.zeros((len(sig), BANDS), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(BANDS):
-                for x in range(j * wide, (j + 1) * wide):
-                    keys[:, j] = keys[:, j] * _U(256) + sig[:, x]
-                keys[:, j] = K.mix(keys[:, j] + _U(j << 56))
-        row = pa.array(np.repeat(np.arange(len(sig)), BANDS))
-        yield K.batch_of(doc_id=b.column("doc_id").take(row), tid=b.column("tid").take(row), key=K.signed(keys.ravel()))
+        row = pa.array(np.repeat(np.arange(b.num_rows), len(KEYS)))
+        yield K.batch_of(tid=b.column("tid").take(row), key=bucket_keys(_matrix(b)).ravel())
 
 
-FOUND = "doc_id long, tid long, similar_to long, similarity double"
+NUMBERS = ("key", "low", "high", "block", "tid", "first", "copies")
+FOUND = "tid long, first long, links long, least long, similarity double, joined long"
 
 
-def _with_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of a text and its bucket's lead those that are similar."""
-    for b in batches:
-        alike = similarity((_matrix(b) == _matrix(b, "lead_signature")).mean(axis=1)) if b.num_rows else np.zeros(0)
-        ok = pa.array(np.flatnonzero(alike >= THRESHOLD))
-        yield K.batch_of(doc_id=b.column("doc_id").take(ok), tid=b.column("tid").take(ok), similar_to=b.column("lead").take(ok), similarity=pa.array(alike[alike >= THRESHOLD]))
+def links_in_tiles(rows: dict[str, np.ndarray], sig: np.ndarray) -> pa.RecordBatch:
+    """By row of whole tiles that has any: its links, the least first document of a linked text, and one that links join it to.
+
+    Pairs are of two blocks if a tile has two. A pair that shares an earlier key is left to that one.
+    """
+    n = len(sig)
+    i, new = np.arange(n), np.ones(n, bool)
+    new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("key", "low", "high")], axis=0)
+    begin = np.flatnonzero(new)
+    tile = np.cumsum(new) - 1
+    end, lower = np.append(begin[1:], n)[tile], rows["block"] == rows["low"]
+    upper = (begin + np.add.reduceat(lower.astype(np.int64), begin))[tile] if n else i
+    start = np.where(rows["low"] == rows["high"], i + 1, np.where(lower, upper, end))
+    until = np.concatenate([[0], np.cumsum(end - start)])
+    padded = np.zeros((n, -(-BINS // 8) * 8), np.uint8)
+    padded[:, :BINS] = sig
+    keys, nth = bucket_keys(sig), rows["key"] >> 56
+    links, least, score, root = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.zeros(n), i.copy()
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(until, until[at] + PAIRS, "right")) - 1)
+        x = np.repeat(i[at:to], (end - start)[at:to])
+        y = np.arange(until[at], until[to]) - until[x] + start[x]
+        at = to
+        # Equal bytes are ones; eight columns of them are added up at once.
+        equal = (padded[x] == padded[y]).view(np.uint64).sum(axis=1, dtype=np.uint64) * _U(0x0101010101010101) >> _U(56)
+        agree = equal.astype(np.int64) - (padded.shape[1] - BINS)
+        ok = np.flatnonzero(agree >= NEED)
+        ok = ok[(keys[x[ok]] == keys[y[ok]]).argmax(axis=1) == nth[x[ok]]]
+        if not len(ok):
+            continue
+        a, b = np.concatenate([x[ok], y[ok]]), np.concatenate([y[ok], x[ok]])
+        alike = np.tile(similarity(agree[ok] / BINS), 2)
+        np.add.at(links, a, rows["copies"][b])
+        order = np.lexsort((-alike, rows["first"][b], a))
+        best = order[np.flatnonzero(np.diff(a[order], prepend=-1))]
+        own, other = a[best], rows["first"][b[best]]
+        better = (other < least[own]) | ((other == least[own]) & (alike[best] > score[own]))
+        least[own[better]], score[own[better]] = other[better], alike[best][better]
+        while (root[a] != root[b]).any():
+            np.minimum.at(root, root[a], root[b])
+            while (root != root[root]).any():
+                root = root[root]
+    some = np.flatnonzero(links)
+    return K.batch_of(tid=rows["tid"][some], first=rows["first"][some], links=links[some], least=least[some], similarity=score[some], joined=rows["first"][root[some]])
 
 
 def _in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come tile by tile, members before those that look for a partner; the members of one tile, about BLOCK signatures, are held."""
-    tile, ids, held, ready = None, [], [], np.zeros((0, BINS), np.uint8)
+    """Rows come tile by tile and block by block; those of the last tile, about two blocks at most, wait for the next batch."""
+    rows, sig = {c: np.zeros(0, np.int64) for c in NUMBERS}, np.zeros((0, BINS), np.uint8)
     for b in batches:
-        sig, out = _matrix(b), []
-        columns = (b.column(c).to_pylist() for c in ("key", "asker", "member", "asks", "doc_id", "tid"))
-        for i, (key, asker, member, asks, doc, tid) in enumerate(zip(*columns, strict=True)):
-            if (key, asker, member) != tile:
-                tile, ids, held = (key, asker, member), [], []
-            if not asks:
-                ids.append(doc)
-                held.append(sig[i])
-                continue
-            if held is not None:
-                ready, numbers, held = np.stack([*held, np.zeros(BINS, np.uint8)])[:-1], np.array(ids, np.int64), None
-            alike = similarity((ready == sig[i]).mean(axis=1))
-            found = np.flatnonzero((alike >= THRESHOLD) & (numbers < doc))
-            if len(found):
-                best = found[np.argmin(numbers[found])]
-                out.append((doc, tid, int(numbers[best]), float(alike[best])))
-        yield K.batch_of(**{c: pa.array([x[k] for x in out], pa.float64() if c == "similarity" else pa.int64()) for k, c in enumerate(("doc_id", "tid", "similar_to", "similarity"))})
+        if not b.num_rows:
+            continue
+        rows = {c: np.concatenate([rows[c], b.column(c).to_numpy()]) for c in NUMBERS}
+        sig = np.concatenate([sig, _matrix(b)])
+        last = np.any([rows[c] != rows[c][-1] for c in ("key", "low", "high")], axis=0)
+        whole = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        if whole:
+            yield links_in_tiles({c: rows[c][:whole] for c in NUMBERS}, sig[:whole])
+            rows, sig = {c: rows[c][whole:] for c in NUMBERS}, sig[whole:]
+    yield links_in_tiles(rows, sig)
+
+
+def tiles(texts: DataFrame) -> DataFrame:
+    """(key, low, high, block, tid) of all that has to be compared: texts of a bucket, by pairs of blocks.
+
+    Small buckets with the same members are compared once, under the least key. The first key that a pair shares is then
+    never dropped: its bucket could only give way to one with a smaller key, which the pair would share as well.
+    """
+    keys = texts.select("tid", "signature").mapInArrow(_keys, "tid long, key long")
+    met = written(keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "lz-met")
+    small, zero = min(SMALL, BLOCK), F.lit(0).cast("long")
+    lists = met.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list("tid")).alias("tids"))  # at most SMALL each
+    once = lists.groupBy("tids").agg(F.min("key").alias("key")).select("key", zero.alias("low"), zero.alias("high"), zero.alias("block"), F.explode("tids").alias("tid"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    large = met.where(F.col("n") > small).select("key", "tid", F.pmod(F.xxhash64("tid"), blocks).alias("block"), F.explode(F.sequence(zero, blocks - 1)).alias("other"))
+    return once.union(large.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tid"))
 
 
-def similar(prints: DataFrame) -> DataFrame:
-    """(doc_id, similar_to, similarity): the least document that a document was linked to.
+def linked(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """By text (doc_id, signature) its n_links, similar_to and similarity; and edges (doc_id, lead) that connect the linked documents.
 
-    Texts with the same signature are settled by one aggregation and only their first is searched for others. Of a
-    bucket, every text is first compared with the least id; texts that weren't linked by that in any bucket are compared
-    with all members of all of their buckets. A text is known by its id and its signature, as rows may share an id.
+    A text is known by its id and its signature, as rows may share an id. n_links counts all other texts that are similar
+    to it; similar_to is the least id of any that is smaller than its own.
     """
-    real = prints.where("n_phrases > 0").select("doc_id", "signature")
-    once = real.groupBy("signature").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    once = written(once.withColumn("tid", F.xxhash64("signature")), "lz-once")
-    first = once.where("doc_id <> last").select("signature", F.col("doc_id").alias("similar_to"))
-    copies = real.join(first, "signature").where("doc_id <> similar_to").select("doc_id", F.lit(None).cast("long").alias("tid"), "similar_to", F.lit(1.0).alias("similarity"))
-    texts = once.select("doc_id", "tid", "signature")
-    keys = texts.mapInArrow(_bands, "doc_id long, tid long, key long")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tid")).alias("l")).where("n > 1").select("key", "n", F.col("l.doc_id").alias("lead"), F.col("l.tid").alias("lead_tid"))
-    met = written(keys.join(buckets, "key"), "lz-met")
-    pairs = met.where("doc_id <> lead").select("doc_id", "tid", "lead", "lead_tid").distinct()
-    leads = texts.select(F.col("doc_id").alias("lead"), F.col("tid").alias("lead_tid"), F.col("signature").alias("lead_signature"))
-    led = written(pairs.join(texts, ["doc_id", "tid"]).join(leads, ["lead", "lead_tid"]).mapInArrow(_with_lead, FOUND), "lz-led")
-    # In a bucket of two the lead was all there is.
-    asking = written(met.where("n > 2 and doc_id <> lead").join(led.select("doc_id", "tid").distinct(), ["doc_id", "tid"], "left_anti").select("key", "n", "doc_id", "tid"), "lz-asking")
-    blocks = asking.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asker_blocks"))
-    block = lambda c: F.pmod(F.xxhash64("doc_id", "tid"), c).cast("int")
-    upto = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
-    member_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    askers = asking.join(blocks, "key").select("key", block(F.col("asker_blocks")).alias("asker"), upto(member_blocks).alias("member"), F.lit(True).alias("asks"), "doc_id", "tid")
-    members = met.join(blocks, "key").select("key", upto(F.col("asker_blocks")).alias("asker"), block(member_blocks).alias("member"), F.lit(False).alias("asks"), "doc_id", "tid")
-    rows = members.union(askers).join(texts, ["doc_id", "tid"]).repartition("key", "asker", "member").sortWithinPartitions("key", "asker", "member", "asks")
-    every = copies.union(led).union(rows.mapInArrow(_in_tiles, FOUND))
-    return every.groupBy("doc_id").agg(F.min_by("similarity", "similar_to").alias("similarity"), F.min("similar_to").alias("similar_to"))
+    rows = prints.where("n_phrases > 0").select("doc_id", "signature").distinct()
+    once = rows.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    texts = written(once.withColumn("tid", F.monotonically_increasing_id()), "lz-texts")
+    order = ("key", "low", "high")
+    compared = tiles(texts).join(texts, "tid").select(*NUMBERS, "signature").repartition(*order).sortWithinPartitions(*order, "block")
+    found = written(compared.mapInArrow(_in_tiles, FOUND), "lz-found")
+    best = found.groupBy("tid").agg(F.sum("links").alias("links"), F.min(F.struct("least", (-F.col("similarity")).alias("minus"))).alias("other"))
+    known = texts.join(best, "tid", "left").where("copies > 1 or links is not null")
+    own = F.when(F.col("first") < F.col("doc_id"), F.struct(F.col("first").alias("least"), F.lit(-1.0).alias("minus")))
+    other = F.when(F.col("other.least") < F.col("doc_id"), F.col("other"))
+    each = rows.join(known, "signature").withColumn("s", F.least(own, other))
+    each = each.select("doc_id", "signature", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("s.least").alias("similar_to"), (-F.col("s.minus")).alias("similarity"))
+    each = written(each, "lz-linked")
+    edges = each.select("doc_id", F.col("first").alias("lead")).union(found.select(F.col("first").alias("doc_id"), F.col("joined").alias("lead"))).where("doc_id <> lead")
+    return each, edges
+
+
+def least_similar(texts: DataFrame) -> DataFrame:
+    """(doc_id, similar_to, similarity) of documents with a smaller one that any of their texts is similar to."""
+    s = F.min(F.struct("similar_to", (-F.col("similarity")).alias("minus"))).alias("s")
+    return texts.where("similar_to is not null").groupBy("doc_id").agg(s).select("doc_id", F.col("s.similar_to").alias("similar_to"), (-F.col("s.minus")).alias("similarity"))
 
 
-def lz_fingerprints(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_phrases, fingerprint (64 bits of the signature), similar_to, similarity.
+def similar(prints: DataFrame) -> DataFrame:
+    """(doc_id, similar_to, similarity): the least of all documents that a document is similar to, where that is smaller than itself."""
+    return least_similar(linked(prints)[0])
+
 
-    similar_to is the least of the documents that it was linked to, and null where no document with a smaller id that
-    shares a band is similar by at least the threshold. Rows that share an id are one document with several texts: each
-    has its row and its fingerprint, and all have the document's similar_to. Rows without an id are left out; null and
-    empty texts have no phrases and the fingerprint of an empty set; a text of any length is parsed whole; repeated rows
-    give repeated rows; an empty table gives none; further columns are ignored.
+def lz_fingerprints(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_phrases, fingerprint (64 bits of the signature), similar_to, similarity, class_id, n_links.
+
+    Texts are linked if their signatures are similar by at least the threshold; no link is left out. n_links counts the
+    other texts that the row's text is linked to, copies included; rows of the same id and signature are one text.
+    class_id is the least document that links lead to over any number of steps, and the document itself where it has
+    none. similar_to is the least document that it is linked to, and null where none has a smaller id. Rows that share an
+    id are one document with several texts: each has its row, its fingerprint and its links, and all have the document's
+    class_id and similar_to. Rows without an id are left out; null and empty texts have no phrases, the fingerprint of
+    an empty set and no links; a text of any length is parsed whole; repeated rows give repeated rows; an empty table
+    gives none; further columns are ignored.
     """
     prints = written(fingerprints(docs), "lz-prints")
-    return prints.select("doc_id", "n_phrases", F.xxhash64("signature").alias("fingerprint")).join(similar(prints), "doc_id", "left").select("doc_id", "n_phrases", "fingerprint", "similar_to", F.round("similarity", 6).alias("similarity"))
+    texts, edges = linked(prints)
+    classes = components(edges).withColumnRenamed("group", "class_id")
+    of_documents = classes.join(least_similar(texts), "doc_id", "left")
+    rows = prints.join(texts.select("doc_id", "signature", "n_links"), ["doc_id", "signature"], "left").join(of_documents, "doc_id", "left")
+    return rows.select(
+        "doc_id",
+        "n_phrases",
+        F.xxhash64("signature").alias("fingerprint"),
+        "similar_to",
+        F.round("similarity", 6).alias("similarity"),
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.when(F.col("n_phrases") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"),
+    )
 
 
 def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

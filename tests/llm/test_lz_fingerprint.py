@@ -94,6 +94,75 @@ def test_a_document_that_only_a_linked_one_is_similar_to(spark, monkeypatch):
         assert {x["doc_id"]: x["similar_to"] for x in Z.similar(prints).collect()} == {2: 1, 3: 2}
 
 
+def test_links_at_the_threshold_wherever_the_signatures_differ(spark):
+    rng = np.random.default_rng(2)
+    assert Z.similarity(np.array(Z.NEED / Z.BINS)) >= Z.THRESHOLD > Z.similarity(np.array((Z.NEED - 1) / Z.BINS))
+    rows, most = [], Z.BINS - Z.NEED
+    spread = np.arange(most) * Z.BINS // most  # in any six neighbouring bins there is one
+    for i in range(60):
+        a = rng.integers(0, 256, Z.BINS).astype(np.uint8)
+        b, c = a.copy(), a.copy()
+        b[spread if i < 20 else rng.permutation(Z.BINS)[:most]] += 1
+        c[rng.permutation(Z.BINS)[: most + 1]] += 2
+        rows += [(3 * i, a), (3 * i + 1, b), (3 * i + 2, c)]
+    prints = spark.createDataFrame([(i, 9, bytearray(x.tobytes())) for i, x in rows], "doc_id long, n_phrases int, signature binary")
+    assert {x["doc_id"]: x["similar_to"] for x in Z.similar(prints).collect()} == {3 * i + 1: 3 * i for i in range(60)}
+
+
+def test_classes_and_numbers_of_links_against_brute_force(spark, monkeypatch):
+    r = random.Random(9)
+    docs = [text(r, 150) for _ in range(20)]
+    for n, rate in ((60, 0.07), (12, 0.05), (5, 0.03)):
+        base = text(r, 400)
+        docs += [base, base] + [edit(r, base, rate) for _ in range(n)]
+    docs += docs[:3]
+    r.shuffle(docs)
+    _, sig = Z.signatures(docs)
+    alike = Z.similarity((sig[:, None, :] == sig[None]).mean(2))
+    near = (alike >= Z.THRESHOLD) & ~np.eye(len(docs), dtype=bool)
+    group = np.arange(len(docs))
+    for _ in docs:
+        group = np.minimum(group, np.where(near, group[None], len(docs)).min(1))
+    due = {}
+    for i in range(len(docs)):
+        below = np.flatnonzero(near[i, :i])
+        due[i] = (int(below[0]) if len(below) else None, round(float(alike[i, below[0]]), 6) if len(below) else None, int(group[i]), int(near[i].sum()))
+    for small, block in ((64, 4096), (2, 7)):
+        monkeypatch.setattr(Z, "SMALL", small)
+        monkeypatch.setattr(Z, "BLOCK", block)
+        rows = Z.lz_fingerprints(frame(spark, list(enumerate(docs)))).collect()
+        assert {x["doc_id"]: (x["similar_to"], x["similarity"], x["class_id"], x["n_links"]) for x in rows} == due
+    assert max(n for *_, n in due.values()) > 20
+
+
+def test_a_tile_is_compared_alike_in_runs_of_any_length(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, Z.BINS).astype(np.uint8)
+    sig = np.where(rng.random((40, Z.BINS)) < 0.16, rng.integers(0, 256, (40, Z.BINS)), base).astype(np.uint8)
+    sig[:, Z.KEYS[0]] = base[Z.KEYS[0]]
+    n = np.arange(40)
+    key = Z.bucket_keys(sig)[:, 0]
+    assert len(set(key.tolist())) == 1
+    alike = Z.similarity((sig[:, None, :] == sig[None]).mean(2)) >= Z.THRESHOLD
+    for two in (False, True):
+        block = n // 20 if two else n * 0
+        near = alike & ((block[:, None] != block[None]) if two else ~np.eye(40, dtype=bool))
+        rows = {"key": key, "low": n * 0, "high": n * 0 + two, "block": block, "tid": n, "first": n, "copies": n % 3 + 1}
+        due = {i: (int((near[i] * rows["copies"]).sum()), int(np.flatnonzero(near[i])[0])) for i in n.tolist() if near[i].any()}
+        assert 20 < len(due) and not near.all()
+        for pairs in (1, 7, 1 << 16):
+            monkeypatch.setattr(Z, "PAIRS", pairs)
+            assert {x["tid"]: (x["links"], x["least"]) for x in Z.links_in_tiles(rows, sig).to_pylist()} == due
+
+
+def test_links_and_classes_of_texts_that_share_an_id(spark):
+    r = random.Random(10)
+    a, b = text(r, 300), text(r, 300)
+    rows = [(3, a), (3, a), (3, b), (4, edit(r, a, 0.01)), (6, b), (8, None), (9, "")]
+    got = [(x["doc_id"], x["class_id"], x["n_links"]) for x in Z.lz_fingerprints(frame(spark, rows)).collect()]
+    assert sorted(got) == [(3, 3, 1), (3, 3, 1), (3, 3, 1), (4, 3, 1), (6, 3, 1), (8, 8, 0), (9, 9, 0)]
+
+
 def test_texts_that_share_an_id(spark):
     r = random.Random(8)
     a, b = text(r, 300), text(r, 300)
