@@ -144,3 +144,56 @@ def test_awkward_rows(spark):
     assert rows[1]["n_tokens"] == 0 and rows[8]["n_tokens"] == 30_000 and rows[8]["log_prob"] == rows[9]["log_prob"]
     assert M.perplexity(df.limit(0)).count() == 0
     assert M.perplexity(df.where("doc_id = 2")).first()["perplexity"] is None
+
+
+def test_bigrams_leave_tasks_packed(spark):
+    """One row a part, however many pairs of words there are; their counts, and what the sweeps make of them, are exact."""
+    r = random.Random(8)
+    texts = [text(r, 60) for _ in range(80)]
+    df = frame(spark, enumerate(texts)).repartition(3)
+    h, n, _, lookup = M.vocabulary(df)
+    near = M.bigrams(df.select("text"), lookup, 5).persist()
+    assert sorted(x["part"] for x in near.collect()) == [0, 1, 2, 3, 4]
+    ids = {int(x): i for i, x in enumerate(h)}
+    count = Counter()
+    for t in texts:
+        own = [ids.get(K.hash64(w), -1) for w in t.lower().replace(".", "").split()]
+        count.update((a, b) for a, b in zip(own, own[1:]) if a >= 0 and b >= 0)
+    dense = np.zeros((len(h), len(h)))
+    for (a, b), k in count.items():
+        dense[a, b] = k
+    head = len(h) // 2
+    assert (M.head_pairs(near, 5, head) == dense[:head, :head]).all() and (M.head_pairs(near, 5, len(h)) == dense).all()
+    cls = np.arange(len(h)).astype(np.int16) % M.CLASSES
+    onehot = np.eye(M.CLASSES)[cls]
+    assert (M.class_pairs(near, 5, spark.sparkContext.broadcast(cls)) == onehot.T @ dense @ onehot).all()
+
+
+def test_parts_and_repeated_pairs_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(M, "MERGED", 40)
+    rng = np.random.default_rng(7)
+    rows = [(int(a), int(b), int(n)) for a, b, n in zip(rng.integers(0, 50, 900), rng.integers(0, 50, 900), rng.integers(1, 9, 900))]
+    once = Counter()
+    for a, b, n in rows:
+        once[a, b] += n
+    many = spark.createDataFrame(rows, "a int, b int, n long").repartition(3)
+    few = spark.createDataFrame([(*k, n) for k, n in once.items()], "a int, b int, n long")
+    assert sum(x["n_after"] for x in M.packed(many, 1).collect()) < len(rows)  # added up
+    cls = np.where(np.arange(60) < 20, np.arange(60) % 4, -1).astype(np.int16)  # words 50 to 59 have no neighbours
+    assert sorted(map(tuple, M.contexts(many, cls, 7).collect())) == sorted(map(tuple, M.contexts(few, cls).collect()))
+    assert (M.settled(many, cls, 7) == M.settled(few, cls)).all()
+
+
+def test_parts_grow_with_the_text():
+    assert [M.parts_of(x) for x in (0, 1, 80 << 20, 1 << 30, 1 << 32, 1 << 36)] == [1, 1, 80, 1024, 1024, 8192]
+
+
+def test_word_counts_of_documents_need_no_classes(spark, tmp_path, monkeypatch):
+    from tessera.llm import registry
+
+    df = awkward(spark).drop("n")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    whole = sorted(map(tuple, M.perplexity(df).select("doc_id", "n_tokens", "n_unknown").collect()))
+    monkeypatch.setattr(M, "exchange", None)
+    got = registry.QUERIES["lm_tokens"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "n_unknown"] and sorted(map(tuple, got.collect())) == whole
