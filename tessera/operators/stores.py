@@ -16,10 +16,16 @@ from ..sources.manifest import Dataset, Manifest, RemovalStats
 
 
 def encode_atoms(rows: DataFrame) -> DataFrame:
-    """Validated atoms with both keys, each exact row once. Input: language, content; further columns are left behind."""
+    """Validated atoms with both keys, each exact row once. Input: language, content; further columns are left behind.
+
+    Copies go by hashing where they are read, before keys are made, so a task holds what is distinct and sorts none of
+    its input. What remains moves to its digest and is made unique by that: strings that aren't valid UTF-8 may differ
+    and have the same one.
+    """
     require(rows.schema, ATOM_INPUT)
-    valid = rows.select(V.language_tag("language").alias("language"), V.content("content").alias("content"))
-    return valid.select(atom_id("language", "content").alias("atom_id"), row_digest("language", "content").alias("row_digest"), "language", "content").dropDuplicates(["row_digest"])
+    valid = rows.select(V.language_tag("language").alias("language"), V.content("content").alias("content")).distinct()
+    keyed = valid.select(atom_id("language", "content").alias("atom_id"), row_digest("language", "content").alias("row_digest"), "language", "content")
+    return keyed.repartition("row_digest").dropDuplicates(["row_digest"])
 
 
 def decode_atoms(stored: DataFrame) -> DataFrame:

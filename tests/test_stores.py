@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import nodes as N
 from tessera.model import ATOM_INPUT, OBSERVATION_INPUT, BackendError, SchemaMismatch
-from tessera.operators.stores import AtomStore, ObservationStore, decode_atoms, decode_observations
+from tessera.operators.stores import AtomStore, ObservationStore, decode_atoms, decode_observations, encode_atoms
 from tessera.streaming import sink
 
 UTC = dt.timezone.utc
@@ -261,3 +261,21 @@ def test_exposed_rows(spark, uri):
     store.put_atoms(atoms(spark, ("en-US", [("text", "x")]), ("fr-FR", [("text", "y")])))
     store.expose("atoms_of_test")
     assert spark.sql("SELECT language FROM atoms_of_test WHERE content[0].data = 'y'").collect() == [("fr-FR",)]
+
+
+def test_copies_of_atoms_go_before_anything_is_sorted(spark, uri):
+    """A task that reads many copies holds one of each: its stage hashes, and has no sort."""
+    rows = atoms(spark, ("en-US", [("text", "a"), ("placeholder", "<b>")]), ("en-US", [("text", "b")])).crossJoin(spark.range(500)).drop("id")
+    plan = encode_atoms(rows)._jdf.queryExecution().executedPlan().toString()
+    reads = plan[plan.rindex("Exchange hashpartitioning") :]  # the plan is printed from its end to its beginning
+    assert "HashAggregate" in reads and "Sort" not in reads
+    store = AtomStore.create(spark, uri)
+    assert store.put_atoms(rows) == 2 and store.put_atoms(rows) == 0
+    assert said(store.stored()) == [("en-US", (("text", "a"), ("placeholder", "<b>"))), ("en-US", (("text", "b"),))]
+
+
+def test_atoms_of_one_digest_are_one(spark, uri):
+    """Bytes that aren't UTF-8 are replaced when they are hashed, so different rows may have the same digest."""
+    rows = spark.sql("SELECT 'en-US' AS language, array(struct('text' AS node_kind, CAST(data AS STRING) AS data)) AS content FROM VALUES (X'FF'), (X'FE') AS t(data)")
+    store = AtomStore.create(spark, uri)
+    assert store.put_atoms(rows) == 1 and store.put_atoms(rows) == 0
