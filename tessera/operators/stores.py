@@ -36,7 +36,7 @@ def decode_atoms(stored: DataFrame) -> DataFrame:
 
 
 def encode_observations(rows: DataFrame) -> DataFrame:
-    """Validated observations with their key, each once. A null effective time means the time of recording, a null payload JSON null; the payload is stored in canonical form."""
+    """Validated observations with their key, each once. A null effective time means the time of recording, a null payload JSON null; the payload is stored in canonical form. Copies go as those of atoms do."""
     require(rows.schema, OBSERVATION_INPUT)
     valid = rows.select(
         V.kind("kind").alias("kind"),
@@ -44,9 +44,9 @@ def encode_observations(rows: DataFrame) -> DataFrame:
         V.timestamp("recorded_at").alias("recorded_at"),
         F.coalesce("effective_at", V.timestamp("recorded_at")).alias("effective_at"),
         canonical_json("payload").alias("payload"),
-    )
+    ).distinct()
     key = observation_id("kind", "subjects", "recorded_at", "effective_at", "payload")
-    return valid.select(key.alias("observation_id"), *valid.columns).dropDuplicates(["observation_id"])
+    return valid.select(key.alias("observation_id"), *valid.columns).repartition("observation_id").dropDuplicates(["observation_id"])
 
 
 def decode_observations(stored: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import nodes as N
 from tessera.model import ATOM_INPUT, OBSERVATION_INPUT, BackendError, SchemaMismatch
-from tessera.operators.stores import AtomStore, ObservationStore, decode_atoms, decode_observations, encode_atoms
+from tessera.operators.stores import AtomStore, ObservationStore, decode_atoms, decode_observations, encode_atoms, encode_observations
 from tessera.streaming import sink
 
 UTC = dt.timezone.utc
@@ -279,3 +279,12 @@ def test_atoms_of_one_digest_are_one(spark, uri):
     rows = spark.sql("SELECT 'en-US' AS language, array(struct('text' AS node_kind, CAST(data AS STRING) AS data)) AS content FROM VALUES (X'FF'), (X'FE') AS t(data)")
     store = AtomStore.create(spark, uri)
     assert store.put_atoms(rows) == 1 and store.put_atoms(rows) == 0
+
+
+def test_copies_of_observations_go_before_anything_is_sorted(spark, uri):
+    rows = facts(spark, ("k", [A], 1, None, '{"b": 1, "a": 2}'), ("k", [A], 1, 1, '{"a":2,"b":1}'), ("k", [B], 1, 2, None)).crossJoin(spark.range(500)).drop("id")
+    plan = encode_observations(rows)._jdf.queryExecution().executedPlan().toString()
+    reads = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "HashAggregate" in reads and "Sort" not in reads
+    store = ObservationStore.create(spark, uri)
+    assert store.put_observations(rows) == 2 and store.put_observations(rows) == 0
